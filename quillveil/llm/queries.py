@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dac, packing, store
+from . import dac, exact, mixing, packing, sharding, store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +18,24 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(spark, out)
 
 
+def op7_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(documents(spark, sf_dir))
+
+
+def op8_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(sharding.OLD_SHARDS))
+    out = sharding.reshard(docs, old)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op10_bin_slack_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_codes, op7_progressive_dedup, op8_fair_queue_mix, op9_flow_reshard, op10_bin_slack_packing)}
+ORACLE_SQL: dict[str, str] = {"op7_progressive_dedup": exact.ORACLE, "op8_fair_queue_mix": mixing.ORACLE}
