@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, exact, mixing, packing, sharding, store
+from . import counts, dac, exact, mixing, near, packing, quality, sharding, store, tagpaths
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,23 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(spark, out)
 
 
+def op2_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(documents(spark, sf_dir))
+
+
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judged(docs, quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(documents(spark, sf_dir))
+
+
 def op7_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -37,5 +54,5 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op7_progressive_dedup, op8_fair_queue_mix, op9_flow_reshard, op10_bin_slack_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_trie_counts, op4_boosted_quality, op5_tag_path_text, op6_circulant_minhash, op7_progressive_dedup, op8_fair_queue_mix, op9_flow_reshard, op10_bin_slack_packing)}
 ORACLE_SQL: dict[str, str] = {"op7_progressive_dedup": exact.ORACLE, "op8_fair_queue_mix": mixing.ORACLE}
