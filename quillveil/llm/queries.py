@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, dac, exact, mixing, near, packing, quality, sharding, store, tagpaths
+from . import counts, dac, exact, lm, mixing, near, packing, quality, sharding, store, tagpaths
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(documents(spark, sf_dir))
 
 
+def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir))
+
+
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.judged(docs, quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -54,5 +58,5 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_trie_counts, op4_boosted_quality, op5_tag_path_text, op6_circulant_minhash, op7_progressive_dedup, op8_fair_queue_mix, op9_flow_reshard, op10_bin_slack_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_trie_counts, op3_elias_fano_lm, op4_boosted_quality, op5_tag_path_text, op6_circulant_minhash, op7_progressive_dedup, op8_fair_queue_mix, op9_flow_reshard, op10_bin_slack_packing)}
 ORACLE_SQL: dict[str, str] = {"op7_progressive_dedup": exact.ORACLE, "op8_fair_queue_mix": mixing.ORACLE}
