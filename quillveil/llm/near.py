@@ -5,9 +5,9 @@ A document's set is its distinct word shingles. One permutation scatters the shi
 the least rank after a circular shift by k. All coordinates of a shingle are one contiguous slice of the table. Bands of the
 signature name candidates; each link is confirmed on the full sets.
 
-Documents with equal sets are one class and go on as one representative. In a bucket the representatives are held against a
-leader first, then, if the bucket still falls into several components, against a second leader, and at last every pair across
-components is checked, so no group is expanded into all its pairs unless none of them link. Components are found by label
+Documents with equal sets are one class and go on as one representative. Each
+representative is held against one leader of its buckets first; while a bucket still falls into several components, its members
+are held against its own leader, then a second one, and at last every pair across components is checked, so no group is expanded into all its pairs unless none of them link. Components are found by label
 propagation with pointer jumping in tables.
 
 Defined results: texts without words have an empty set and link with nothing; a null doc_id links with nothing and is its own,
@@ -28,9 +28,22 @@ from . import arrow, store
 
 #: Chance that a link of exactly the least similarity, 0.8, shares no band: (1 - 0.8 ** 7) ** 48 = 1e-5.
 BANDS, ROWS, BITS, SEED = 48, 7, 20, 11
+#: 64-bit words of the one-bit sketch (a bit of each of 320 coordinates). Sets of similarity s differ in (1 - s) / 2 of the bits;
+#: candidates that differ in more than the mean at the least similarity and six standard deviations are not held against each other.
+SKETCH = 5
 _U = np.uint64
 
 
+def sketch_bound(percent: int) -> int:
+    bits, p = 64 * SKETCH, (100 - percent) / 200
+    return int(bits * p + 6 * (bits * p * (1 - p)) ** 0.5)
+
+
+def near_sketches(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches (columns a0.. and b0..) leave room for the similarity."""
+    return F.expr(" + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(SKETCH))) <= sketch_bound(percent)
+
+
 def shingle_sets(col: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     flat, offsets = arrow.words(pc.ascii_lower(col))
@@ -63,7 +76,8 @@ class Signer:
         return out
 
 
-SIGNED = "doc_id long, n long, fp1 long, fp2 long, bands array<long>"
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
+SIGNED = "doc_id long, n long, fp1 long, fp2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCHES)
 
 
 def _signed(size: int, bands: int, rows: int):
@@ -75,9 +89,11 @@ def _signed(size: int, bands: int, rows: int):
             n = np.array([len(s) for s in sets], np.int64)
             prints = np.array([[arrow.mixed(s ^ _U(c)).sum(dtype=_U) for c in (0x5BD1E995, 0x27D4EB2F)] for s in sets], _U).reshape(-1, 2).view(np.int64)
             signatures = np.stack([signer.sign(s) for s in sets]).astype(_U)
-            keys = arrow.mixed(arrow.mixed(signatures + own).reshape(-1, bands, rows).sum(2, dtype=_U)).view(np.int64)
+            scattered = arrow.mixed(signatures + own)
+            keys = arrow.mixed(scattered.reshape(-1, bands, rows).sum(2, dtype=_U)).view(np.int64)
+            sketches = np.packbits((scattered[:, : 64 * SKETCH] >> _U(32) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], ["doc_id", "n", "fp1", "fp2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, *(pa.array(sketches[:, k]) for k in range(SKETCH))], ["doc_id", "n", "fp1", "fp2", "bands", *SKETCHES])
 
     return run
 
@@ -132,29 +148,36 @@ def near_dedup(docs: DataFrame, *, size: int = 2, percent: int = 80, bands: int
     salted = by_salt.select(*key, "salt").join(classes, key)
     alone = linkable.join(salted, [*key, "salt"], "left").where("rep is null or rep = doc_id")
 
-    flat = alone.select("doc_id", "n", F.explode("bands").alias("bucket"))
-    lead = F.min(F.struct(F.xxhash64("doc_id").alias("order"), F.col("doc_id").alias("lead"), F.col("n").alias("lead_n"))).alias("lead")
-    buckets = flat.groupBy("bucket").agg(F.count("*").alias("c"), lead).where("c > 1").select("bucket", "lead.lead", "lead.lead_n")
+    flat = alone.select("doc_id", "n", *SKETCHES, F.explode("bands").alias("bucket"))
+    order = F.xxhash64("doc_id").alias("order")
+    lead = F.min(F.struct(order, F.col("doc_id").alias("lead"), F.col("n").alias("lead_n"), *(F.col(s).alias(f"lead_{s}") for s in SKETCHES))).alias("first")
+    buckets = flat.groupBy("bucket").agg(F.count("*").alias("c"), lead).where("c > 1").select("bucket", "first.*").withColumnRenamed("order", "lead_order")
     members = store.written(flat.join(buckets, "bucket"), "members")
-    pairs = members.where((F.col("doc_id") != F.col("lead")) & similar_sizes(F.col("n"), F.col("lead_n"), percent))
-    pairs = store.written(pairs.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-
     wanted = store.written(members.select("doc_id").distinct(), "wanted")
     sets = store.written(texts.join(store.small(wanted, wanted.count(), 16), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    links = store.written(linked(pairs, sets, percent), "links")
+
+    def alike(side: str) -> Column:
+        return similar_sizes(F.col("n"), F.col(f"{side}_n"), percent) & near_sketches("s", f"{side}_s", percent)
+
+    led = members.where((F.col("doc_id") != F.col("lead")) & alike("lead"))
+    first = led.groupBy("doc_id").agg(F.min(F.struct("lead_order", "lead")).alias("first"))  # one leader a document, the same for most of a group
+    links = store.written(linked(first.select(F.col("first.lead").alias("a"), F.col("doc_id").alias("b")), sets, percent), "links")
     found = components(links)
-    for last in (False, True):
-        named = members.join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("own")), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
-        named = named.join(found.select(F.col("node").alias("lead"), F.col("component").alias("core")), "lead", "left").withColumn("core", F.coalesce("core", "lead"))
-        open_buckets = named.where("own <> core").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id").alias("order"), F.col("doc_id").alias("second"), F.col("n").alias("second_n"), F.col("own").alias("second_own"))).alias("s"))
-        named = store.written(named.join(open_buckets.select("bucket", "s.second", "s.second_n", "s.second_own"), "bucket"), "open")
-        if last:  # the rest of all pairs across components
-            outer = named.where("own <> core").select("bucket", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"))
-            more = named.join(outer, "bucket").where((F.col("own") != F.col("x_own")) & (F.col("doc_id") != F.col("lead")) & similar_sizes(F.col("n"), F.col("x_n"), percent))
+    for step in ("leaders", "second leaders", "rest"):
+        own = found.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+        core = found.select(F.col("node").alias("lead"), F.col("component").alias("core"))
+        named = members.join(own, "doc_id", "left").join(core, "lead", "left").withColumns({"own": F.coalesce("own", "doc_id"), "core": F.coalesce("core", "lead")})
+        outer = named.where("own <> core")
+        if step == "leaders":
+            more = outer.where(alike("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+        elif step == "second leaders":
+            second = F.min(F.struct(order, F.col("doc_id").alias("next"), F.col("n").alias("next_n"), F.col("own").alias("next_own"), *(F.col(s).alias(f"next_{s}") for s in SKETCHES))).alias("second")
+            more = named.where("doc_id <> lead").join(outer.groupBy("bucket").agg(second).select("bucket", "second.*").drop("order"), "bucket")
+            more = more.where((F.col("own") != F.col("next_own")) & alike("next")).select(F.col("next").alias("a"), F.col("doc_id").alias("b"))
+        else:  # all pairs across components that are left
+            outer = outer.select("bucket", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"), *(F.col(s).alias(f"x_{s}") for s in SKETCHES))
+            more = named.where("doc_id <> lead").join(outer, "bucket").where((F.col("own") != F.col("x_own")) & alike("x"))
             more = more.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
-        else:
-            more = named.where((F.col("own") != F.col("second_own")) & (F.col("doc_id") != F.col("lead")) & similar_sizes(F.col("n"), F.col("second_n"), percent))
-            more = more.select(F.col("second").alias("a"), F.col("doc_id").alias("b"))
         more = store.written(linked(more.distinct(), sets, percent), "links")
         if more.head(1):
             links = links.unionByName(more)
