@@ -148,11 +148,16 @@ def near_dedup(docs: DataFrame, *, size: int = 2, percent: int = 80, bands: int
     salted = by_salt.select(*key, "salt").join(classes, key)
     alone = linkable.join(salted, [*key, "salt"], "left").where("rep is null or rep = doc_id")
 
-    flat = alone.select("doc_id", "n", *SKETCHES, F.explode("bands").alias("bucket"))
+    flat = alone.select("doc_id", "n", F.explode("bands").alias("bucket"))
+    shared = flat.groupBy("bucket").agg(F.count("*").alias("met")).where("met > 1")
+    places = store.written(flat.join(shared, "bucket"), "places")
+    # whoever meets most others leads: the text that a group's copies were made from is nearer to each than they are to each other
     order = F.xxhash64("doc_id").alias("order")
-    lead = F.min(F.struct(order, F.col("doc_id").alias("lead"), F.col("n").alias("lead_n"), *(F.col(s).alias(f"lead_{s}") for s in SKETCHES))).alias("first")
-    buckets = flat.groupBy("bucket").agg(F.count("*").alias("c"), lead).where("c > 1").select("bucket", "first.*").withColumnRenamed("order", "lead_order")
-    members = store.written(flat.join(buckets, "bucket"), "members")
+    known = places.groupBy("doc_id").agg(F.sum("met").alias("meets")).join(alone.select("doc_id", *SKETCHES).dropDuplicates(["doc_id"]), "doc_id")
+    placed = places.drop("met").join(known, "doc_id")
+    lead = F.min(F.struct((-F.col("meets")).alias("rank"), order, F.col("doc_id").alias("lead"), F.col("n").alias("lead_n"), *(F.col(s).alias(f"lead_{s}") for s in SKETCHES))).alias("first")
+    leaders = placed.groupBy("bucket").agg(lead).select("bucket", "first.*").drop("order").withColumnRenamed("rank", "lead_order")
+    members = store.written(placed.drop("meets").join(leaders, "bucket"), "members")
     wanted = store.written(members.select("doc_id").distinct(), "wanted")
     sets = store.written(texts.join(store.small(wanted, wanted.count(), 16), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
 
