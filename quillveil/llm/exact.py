@@ -1,7 +1,8 @@
 """Exact deduplication by progressive refinement, with DataFrame functions alone.
 
 Round 1 counts texts by length (in 65,536 classes, so that what it broadcasts is bounded), round 2 counts the survivors by
-length and hash of the first 64 characters, round 3 takes the full SHA-256 of the whole text for what survives both. Groups
+length and hash of the first 64 characters, both on a narrow table; round 3 takes the full SHA-256 of the whole text for what
+survives both. Groups
 are counted by key and salt first, then by key, and met again by key and salt: copies that make up a third of all rows are
 spread over as many tasks as there are salts.
 
@@ -12,6 +13,8 @@ a doc_id and its text are one document: all are kept or none. An empty table giv
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,36 +22,44 @@ from . import store
 
 LENGTH_CLASSES = 1 << 16
 PREFIX = 64
+_RARE = "\t\x0b\x0c\r"
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")
+    """The text without white space. Spaces and line feeds go by plain replacing; the rest is looked for only where it occurs."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    usual = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    whole, rare = usual, F.lit(False)
+    for c in _RARE:
+        whole, rare = F.replace(whole, F.lit(c), F.lit("")), rare | text.contains(c)
+    return F.when(rare, whole).otherwise(usual)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *rest: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, points, salt and ``k``: length, prefix hash and ``rest`` of the normalised text, which a lambda binds so that it is made once."""
     salts = max(16, store.partitions(docs.sparkSession))
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = raw.select("doc_id", F.length("text").alias("points"), normalised(F.col("text")).alias("norm"))
-    return rows.select(
-        "doc_id", "points", "norm", F.length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("head"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
-    )
+    k = F.transform(F.array(normalised(F.col(text_col))), lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(F.substring(x, 1, PREFIX)).alias("head"), *(f(x) for f in rest)))[0]
+    doc_id = F.col(id_col).cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("points"), F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int").alias("salt"), k.alias("k"))
+
+
+def _sha(norm: Column) -> Column:
+    return F.sha2(norm, 256).alias("text_sha256")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of two or more equal texts, a row for each salt: n, text_sha256, salt, keep_id, group_size."""
-    rows = _keyed(docs, id_col, text_col)
+def prefixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What survives rounds 1 and 2, a row for each salt: n, head, salt."""
+    rows = store.written(_keyed(docs, id_col, text_col).select("k", "salt"), "lengths").select("k.*", "salt")
+    by_salt = store.written(rows.groupBy("n", "head", "salt").count(), "heads")
     kind = F.pmod(F.col("n"), F.lit(LENGTH_CLASSES))
-    lengths = rows.groupBy(kind.alias("kind")).count().where("count > 1").select("kind")  # LENGTH_CLASSES rows at most
-    rows = rows.join(F.broadcast(lengths), kind == F.col("kind"), "left_semi")
-    by_salt = rows.groupBy("n", "head", "salt").count()
+    lengths = by_salt.groupBy(kind.alias("kind")).agg(F.sum("count").alias("total")).where("total > 1").select("kind")  # LENGTH_CLASSES rows at most
+    by_salt = by_salt.join(F.broadcast(lengths), kind == F.col("kind"), "left_semi")
     found = by_salt.groupBy("n", "head").agg(F.sum("count").alias("total")).where("total > 1").select("n", "head")
-    found = store.written(by_salt.drop("count").join(found, ["n", "head"]), "prefixes")
-    count = found.count()
-    sha = F.sha2("norm", 256).alias("text_sha256")
-    if count * 24 <= store.BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(found), ["n", "head", "salt"], "left_semi").select("doc_id", "points", "n", "salt", sha)
-    else:  # narrow rows are shuffled rather than texts
-        rows = rows.select("doc_id", "points", "n", "head", "salt", sha).join(found, ["n", "head", "salt"], "left_semi")
+    return store.written(by_salt.drop("count").join(found, ["n", "head"]), "prefixes")
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """Groups of two or more equal texts among rows of ``doc_id, points, salt, n, text_sha256``, a row for each salt: n, text_sha256, salt, keep_id, group_size."""
     best = F.max(F.struct("points", (-F.col("doc_id")).alias("minus_id")))
     by_salt = rows.groupBy("n", "text_sha256", "salt").agg(F.count("*").alias("rows"), best.alias("best"))
     whole = by_salt.groupBy("n", "text_sha256").agg(F.sum("rows").alias("group_size"), F.max("best").alias("best")).where("group_size > 1")
@@ -57,17 +68,26 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = _keyed(docs, id_col, text_col).select("doc_id", "n", "salt", F.sha2("norm", 256).alias("text_sha256"))
-    out = rows.join(groups(docs, id_col=id_col, text_col=text_col), ["n", "text_sha256", "salt"], "left")
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (so here every text is hashed whole, once)."""
+    found = prefixes(docs, id_col=id_col, text_col=text_col)
+    rows = store.written(_keyed(docs, id_col, text_col, _sha), "hashed").select("doc_id", "points", "salt", "k.*")
+    met = groups(rows.join(store.small(found, found.count(), 24), ["n", "head", "salt"], "left_semi"))
+    out = rows.join(met, ["n", "text_sha256", "salt"], "left")
     out = out.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
     return out.select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def dropped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The doc_ids of the copies that go; only texts of groups are hashed whole."""
-    rows = _keyed(docs, id_col, text_col).select("doc_id", "n", "salt", F.sha2("norm", 256).alias("text_sha256"))
-    return rows.join(groups(docs, id_col=id_col, text_col=text_col), ["n", "text_sha256", "salt"]).where("not doc_id <=> keep_id").select("doc_id")
+    found = prefixes(docs, id_col=id_col, text_col=text_col)
+    count = found.count()
+    if count * 24 <= store.BROADCAST_BYTES:
+        rows = _keyed(docs, id_col, text_col, lambda x: x.alias("norm")).select("doc_id", "points", "salt", "k.*")
+        rows = rows.join(F.broadcast(found), ["n", "head", "salt"], "left_semi").select("doc_id", "points", "salt", "n", _sha(F.col("norm")))
+    else:  # narrow rows are shuffled rather than texts
+        rows = _keyed(docs, id_col, text_col, _sha).select("doc_id", "points", "salt", "k.*").join(found, ["n", "head", "salt"], "left_semi")
+    rows = store.written(rows.select("doc_id", "points", "salt", "n", "text_sha256"), "hashed")
+    return rows.join(groups(rows), ["n", "text_sha256", "salt"]).where("not doc_id <=> keep_id").select("doc_id")
 
 
 ORACLE = r"""
