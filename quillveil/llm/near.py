@@ -5,10 +5,12 @@ A document's set is its distinct word shingles. One permutation scatters the shi
 the least rank after a circular shift by k. All coordinates of a shingle are one contiguous slice of the table. Bands of the
 signature name candidates; each link is confirmed on the full sets.
 
-Documents with equal sets are one class and go on as one representative. Each
-representative is held against one leader of its buckets first; while a bucket still falls into several components, its members
-are held against its own leader, then a second one, and at last every pair across components is checked, so no group is expanded into all its pairs unless none of them link. Components are found by label
-propagation with pointer jumping in tables.
+Documents with equal sets are one class and go on as one representative. Each representative is held against one leader of its
+buckets first; while a bucket still falls into several components, its members are held against its own leader, then a second
+one, and at last every pair across components is checked. Before full sets meet, two sketches of them do: one bit of each
+coordinate, and the parity of the shingles that fall on each of ``64 * PARITY`` places. Places of unlike parity can't outnumber
+the shingles that only one set has, so the latter drops no link. Components are found by label propagation with pointer jumping
+in tables.
 
 Defined results: texts without words have an empty set and link with nothing; a null doc_id links with nothing and is its own,
 null, component; rows that repeat a doc_id are one node; an empty table gives no rows; other columns are not looked at.
@@ -31,6 +33,8 @@ BANDS, ROWS, BITS, SEED = 48, 7, 20, 11
 #: 64-bit words of the one-bit sketch (a bit of each of 320 coordinates). Sets of similarity s differ in (1 - s) / 2 of the bits;
 #: candidates that differ in more than the mean at the least similarity and six standard deviations are not held against each other.
 SKETCH = 5
+#: 64-bit words of the parity sketch. It tells sets of up to some 1,300 shingles apart; larger ones are left to the other sketch.
+PARITY = 16
 _U = np.uint64
 
 
@@ -39,9 +43,17 @@ def sketch_bound(percent: int) -> int:
     return int(bits * p + 6 * (bits * p * (1 - p)) ** 0.5)
 
 
-def near_sketches(a: str, b: str, percent: int) -> Column:
-    """Whether the sketches (columns a0.. and b0..) leave room for the similarity."""
-    return F.expr(" + ".join(f"bit_count({a}{k} ^ {b}{k})" for k in range(SKETCH))) <= sketch_bound(percent)
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches (columns a_n, a_s0.., a_p0.., and b's) leave room for the similarity."""
+    unlike = {k: " + ".join(f"bit_count({a}_{k}{i} ^ {b}_{k}{i})" for i in range(n)) for k, n in (("s", SKETCH), ("p", PARITY))}
+    own = f"({unlike['p']}) * {100 + percent} <= ({a}_n + {b}_n) * {100 - percent}"
+    return similar_sizes(F.col(f"{a}_n"), F.col(f"{b}_n"), percent) & F.expr(own) & F.expr(f"({unlike['s']}) <= {sketch_bound(percent)}")
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit k: whether an odd number of shingles falls on place k."""
+    at = (arrow.mixed(shingles ^ _U(0x165667B19E3779F9)) % _U(64 * PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
 
 
 def shingle_sets(col: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -76,7 +88,7 @@ class Signer:
         return out
 
 
-SKETCHES = [f"s{k}" for k in range(SKETCH)]
+SKETCHES = [*(f"s{k}" for k in range(SKETCH)), *(f"p{k}" for k in range(PARITY))]
 SIGNED = "doc_id long, n long, fp1 long, fp2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCHES)
 
 
@@ -92,8 +104,9 @@ def _signed(size: int, bands: int, rows: int):
             scattered = arrow.mixed(signatures + own)
             keys = arrow.mixed(scattered.reshape(-1, bands, rows).sum(2, dtype=_U)).view(np.int64)
             sketches = np.packbits((scattered[:, : 64 * SKETCH] >> _U(32) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
+            sketches = np.hstack([sketches, np.stack([parity(s) for s in sets])])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, *(pa.array(sketches[:, k]) for k in range(SKETCH))], ["doc_id", "n", "fp1", "fp2", "bands", *SKETCHES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, *(pa.array(sketches[:, k]) for k in range(len(SKETCHES)))], ["doc_id", "n", "fp1", "fp2", "bands", *SKETCHES])
 
     return run
 
@@ -153,37 +166,48 @@ def near_dedup(docs: DataFrame, *, size: int = 2, percent: int = 80, bands: int
     places = store.written(flat.join(shared, "bucket"), "places")
     # whoever meets most others leads: the text that a group's copies were made from is nearer to each than they are to each other
     order = F.xxhash64("doc_id").alias("order")
-    known = places.groupBy("doc_id").agg(F.sum("met").alias("meets")).join(alone.select("doc_id", *SKETCHES).dropDuplicates(["doc_id"]), "doc_id")
-    placed = places.drop("met").join(known, "doc_id")
-    lead = F.min(F.struct((-F.col("meets")).alias("rank"), order, F.col("doc_id").alias("lead"), F.col("n").alias("lead_n"), *(F.col(s).alias(f"lead_{s}") for s in SKETCHES))).alias("first")
-    leaders = placed.groupBy("bucket").agg(lead).select("bucket", "first.*").drop("order").withColumnRenamed("rank", "lead_order")
-    members = store.written(placed.drop("meets").join(leaders, "bucket"), "members")
+    placed = places.drop("met").join(places.groupBy("doc_id").agg(F.sum("met").alias("meets")), "doc_id")
+    lead = F.min(F.struct((-F.col("meets")).alias("lead_order"), order, F.col("doc_id").alias("lead"))).alias("first")
+    leaders = placed.groupBy("bucket").agg(lead).select("bucket", "first.lead", "first.lead_order")
+    members = store.written(placed.drop("meets", "n").join(leaders, "bucket"), "members")
     wanted = store.written(members.select("doc_id").distinct(), "wanted")
-    sets = store.written(texts.join(store.small(wanted, wanted.count(), 16), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    n_wanted = wanted.count()
+    sets = store.written(texts.join(store.small(wanted, n_wanted, 16), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    sketches = store.written(alone.join(store.small(wanted, n_wanted, 16), "doc_id", "left_semi").select("doc_id", "n", *SKETCHES).dropDuplicates(["doc_id"]), "sketches")
+
+    def sketched(df: DataFrame, side: str) -> DataFrame:
+        named = sketches.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCHES)))
+        return df.join(store.small(named, n_wanted, 16 + 8 * len(SKETCHES)), side)
 
-    def alike(side: str) -> Column:
-        return similar_sizes(F.col("n"), F.col(f"{side}_n"), percent) & near_sketches("s", f"{side}_s", percent)
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return sketched(sketched(pairs, "a"), "b").where(alike("a", "b", percent)).select(*pairs.columns)
 
-    led = members.where((F.col("doc_id") != F.col("lead")) & alike("lead"))
-    first = led.groupBy("doc_id").agg(F.min(F.struct("lead_order", "lead")).alias("first"))  # one leader a document, the same for most of a group
-    links = store.written(linked(first.select(F.col("first.lead").alias("a"), F.col("doc_id").alias("b")), sets, percent), "links")
+    led = members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), "lead_order").distinct()
+    led = store.written(plausible(led), "led")
+    first = led.groupBy("b").agg(F.min(F.struct("lead_order", "a")).alias("first"))  # one leader a document, the same for most of a group
+    links = store.written(linked(first.select("first.a", "b"), sets, percent), "links")
     found = components(links)
     for step in ("leaders", "second leaders", "rest"):
-        own = found.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
-        core = found.select(F.col("node").alias("lead"), F.col("component").alias("core"))
-        named = members.join(own, "doc_id", "left").join(core, "lead", "left").withColumns({"own": F.coalesce("own", "doc_id"), "core": F.coalesce("core", "lead")})
-        outer = named.where("own <> core")
+
+        def within(df: DataFrame, node: str, component: str) -> DataFrame:
+            own = found.select(F.col("node").alias(node), F.col("component").alias(component))
+            return df.join(own, node, "left").withColumn(component, F.coalesce(component, node))
+
         if step == "leaders":
-            more = outer.where(alike("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-        elif step == "second leaders":
-            second = F.min(F.struct(order, F.col("doc_id").alias("next"), F.col("n").alias("next_n"), F.col("own").alias("next_own"), *(F.col(s).alias(f"next_{s}") for s in SKETCHES))).alias("second")
-            more = named.where("doc_id <> lead").join(outer.groupBy("bucket").agg(second).select("bucket", "second.*").drop("order"), "bucket")
-            more = more.where((F.col("own") != F.col("next_own")) & alike("next")).select(F.col("next").alias("a"), F.col("doc_id").alias("b"))
-        else:  # all pairs across components that are left
-            outer = outer.select("bucket", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"), *(F.col(s).alias(f"x_{s}") for s in SKETCHES))
-            more = named.where("doc_id <> lead").join(outer, "bucket").where((F.col("own") != F.col("x_own")) & alike("x"))
-            more = more.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
-        more = store.written(linked(more.distinct(), sets, percent), "links")
+            more = within(within(led, "a", "core"), "b", "own").where("own <> core").select("a", "b")
+        else:
+            named = within(within(members, "doc_id", "own"), "lead", "core")
+            outer, others = named.where("own <> core"), named.where("doc_id <> lead")
+        if step == "second leaders":
+            second = F.min(F.struct(order, F.col("doc_id").alias("a"), F.col("own").alias("a_own"))).alias("second")
+            more = others.join(outer.groupBy("bucket").agg(second).select("bucket", "second.a", "second.a_own"), "bucket").where("own <> a_own")
+            more = plausible(more.select("a", F.col("doc_id").alias("b")).distinct())
+        elif step == "rest":  # all pairs across components that are left
+            x = sketched(outer.select("bucket", F.col("doc_id").alias("x"), F.col("own").alias("x_own")), "x")
+            y = others.join(outer.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("doc_id").alias("y"), F.col("own").alias("y_own"))
+            more = sketched(y, "y").join(x, "bucket").where((F.col("x_own") != F.col("y_own")) & alike("x", "y", percent))
+            more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        more = store.written(linked(more, sets, percent), "links")
         if more.head(1):
             links = links.unionByName(more)
             found = components(links)

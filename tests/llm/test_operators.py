@@ -124,6 +124,19 @@ def test_circulant_signature_estimates_similarity():
     assert abs((a == b).mean() - 800 / 1200) < 0.1
 
 
+@pytest.mark.parametrize("n", [1, 9, 150, 5000])
+def test_parity_sketch_drops_no_link(n):
+    rng = np.random.default_rng(n)
+    for _ in range(50):
+        x = np.unique(arrow.mixed(rng.integers(0, 1 << 62, 2 * n).astype(np.uint64)))
+        a, b = x[: n + rng.integers(0, n + 1)], x[rng.integers(0, n + 1) :]
+        unlike = int(np.bitwise_count((near.parity(a) ^ near.parity(b)).view(np.uint64)).sum())
+        common = len(np.intersect1d(a, b))
+        assert unlike <= len(a) + len(b) - 2 * common
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            assert unlike * 180 <= (len(a) + len(b)) * 20
+
+
 def _oracle(sql, docs):
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
