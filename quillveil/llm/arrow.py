@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,16 @@ def texts(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(col.cast(pa.string()) if col.type != pa.string() else col, "")
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives the worker's freed memory back to the machine: Spark keeps idle workers, beside which its own heap must fit."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Zero-copy row slices with at most ``most`` bytes of text, one row at least."""
     for batch in batches:
@@ -33,6 +44,7 @@ def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at), col.slice(at, to - at)
             at = to
+        release()
 
 
 def words(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
