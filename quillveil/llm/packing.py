@@ -80,7 +80,7 @@ WITH_IDS = PIECES + ", ids binary"
 def _pieces(path: str, end: int, size: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
-        for batch, col in arrow.sliced(batches, "text"):
+        for batch, col in arrow.sliced(batches, "text", 2 << 20):
             ids, offsets = tokens.with_end(*enc.encode(col), end)
             n = np.diff(offsets)
             per = -(-n // size)

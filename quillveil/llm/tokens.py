@@ -34,11 +34,10 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer = normalizers.Sequence([])
+        self.model = Tokenizer(self.whole.model)  # the same model, not a second one in memory
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that close a pre-token
@@ -49,6 +48,7 @@ class Encoder:
         self.split = regex.compile(PRETOKEN).findall
         self.plain = regex.compile(PLAIN).fullmatch
         self.clear()
+        arrow.release()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
