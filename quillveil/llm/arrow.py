@@ -31,6 +31,17 @@ def release() -> None:
         _trim(0)
 
 
+#: What the worker keeps between tasks of one kind; tasks of other kinds clear it.
+kept: dict[str, object] = {}
+
+
+def forget() -> None:
+    """Drops what earlier tasks of another kind have kept in this worker."""
+    if kept:
+        kept.clear()
+        release()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Zero-copy row slices with at most ``most`` bytes of text, one row at least."""
     for batch in batches:

@@ -94,6 +94,7 @@ SIGNED = "doc_id long, n long, fp1 long, fp2 long, bands array<long>, " + ", ".j
 
 def _signed(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.forget()
         signer = Signer(bands * rows)
         own = arrow.mixed(np.arange(1, bands * rows + 1, dtype=_U))
         for batch, col in arrow.sliced(batches, "text"):

@@ -85,6 +85,7 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrow.forget()
     for batch, col in arrow.sliced(batches, "text", 4 << 20):
         counts, x = statistics(col)
         ok = ~base_failed(counts)
@@ -114,6 +115,7 @@ def judged(docs: DataFrame, forest: trees.Forest | None, *, id_col: str = "doc_i
     """Per document: doc_id, the counts, base_failed, kept, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.forget()
         for batch, col in arrow.sliced(batches, "text", 4 << 20):
             counts, x = statistics(col)
             failed, score, kept = verdicts(counts, x, forest)
@@ -127,6 +129,7 @@ def kept_rows(docs: DataFrame, forest: trees.Forest | None, *, text_col: str = "
     """The documents that are kept, with all their columns; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow.forget()
         for batch, col in arrow.sliced(batches, text_col, 4 << 20):
             yield batch.filter(pa.array(verdicts(*statistics(col), forest)[2]))
 

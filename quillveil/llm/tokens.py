@@ -117,14 +117,12 @@ class Encoder:
         return self.flat[arrow.spread(self.starts[slots], lens)], np.concatenate([[0], np.cumsum(lens)])[offsets]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for this file; workers keep it over batches and tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder for this file; workers keep it over batches and tasks, until one of another kind comes."""
+    if path not in arrow.kept:
+        arrow.forget()
+        arrow.kept[path] = Encoder(path)
+    return arrow.kept[path]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
