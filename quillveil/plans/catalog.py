@@ -256,8 +256,8 @@ def key_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS k, c_name AS plain, 'ok' AS status, 'WRONG_PASSPHRASE' AS wrong, 'INVALID_KEY_FILE' AS invalid FROM customer WHERE c_custkey % 50 = 0")
 def key_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encrypted keys: the right passphrase, a wrong one, and a broken envelope."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("k"), "c_name")
-    c = keys.encrypted(c, "c_name", "correct horse", 100_000)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    c = keys.encrypted(c, "c_name", "correct horse")
     right = keys.decrypted(c, "envelope", "correct horse").select("k", "envelope", F.col("plain").alias("own"), F.col("status").alias("right"))
     wrong = keys.decrypted(right, "envelope", "battery staple").select("k", "own", "right", F.col("status").alias("wrong"), F.lit("{}").alias("envelope"))
     return keys.decrypted(wrong, "envelope", "x").select("k", F.col("own").alias("plain"), F.col("right").alias("status"), "wrong", F.col("status").alias("invalid"))
