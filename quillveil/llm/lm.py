@@ -1,13 +1,16 @@
 """Scores of whole texts under a smoothed bigram model kept in Elias-Fano n-gram tries.
 
-1. One pass counts the training words (64-bit hashes). From the table of counts come the heads (words with at least 1/65,536 of
-   all tokens, so 65,536 at most) and 65,536 classes of the other words: the lower-order model, of bounded size.
-2. A second pass turns each block of texts into its distinct bigrams with the documents they occur in, and deals them to shards
+1. One pass counts the training words (64-bit hashes). The heads (words with at least 1/65,536 of all tokens, so 65,536 at most)
+   go to every task; the other counts stay in a table.
+2. A second pass finds which shard needs the count of which other word. These requests and the table meet by word, and each shard
+   is sent the counts that it needs.
+3. A third pass turns each block of texts into its distinct bigrams with the documents they occur in, and deals them to shards
    by context; contexts above a shard's share are dealt by successor too. A shard adds up its counts, builds its trie, scores
    its bigrams by successor search, and sends each block a sum for each of its documents.
-3. The sums of a block's documents meet again by block.
+4. The sums of a block's documents meet again by block.
 
-Model: P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU) with P(w) from the lower-order model; logarithms are quantised to a byte.
+Model: P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1) of each word's own count, 0 for words
+that training lacks; the trie's logarithms are quantised to a byte.
 Nothing is pruned. Memory is bounded by the size of a block and of a shard; the number of shards follows the tokens.
 
 Defined results: null and empty texts are the end token alone; the training rows are chosen by crc32 of the doc_id as text (a
@@ -34,13 +37,13 @@ from . import arrow, store
 from .eliasfano import Trie
 
 MU = 4.0
-HEAD_SHARE = CLASSES = 1 << 16
+HEAD_SHARE = 1 << 16
 #: Tokens a shard is meant to hold.
 SHARD_TOKENS = 2_500_000
 _U = np.uint64
 BEGIN, END = (xxhash.xxh3_64_intdigest(b"\x00 " + x) for x in (b"begin", b"end"))  # hold a space: no word is hashed so
-#: Step of the one-byte codes of lower-order log probabilities.
-LOW_STEP = 16 / 255
+#: Entries that a task gathers before it deals them out.
+GATHERED = 1_000_000
 
 
 def is_training(doc_ids: list) -> np.ndarray:
@@ -81,31 +84,29 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lower:
-    """The lower-order model: exact heads, classes of all other words."""
+    """What every task knows of the lower-order model: its totals and the counts of the heads."""
 
-    def __init__(self, heads: np.ndarray, counts: np.ndarray, class_counts: np.ndarray, class_words: np.ndarray, n: int, v: int, docs: int, shards: int):
+    def __init__(self, heads: np.ndarray, counts: np.ndarray, n: int, v: int, docs: int, shards: int):
         order = np.argsort(heads)
         self.heads, self.counts, self.n, self.v, self.docs, self.shards = heads[order], counts[order], n, v, docs, shards
         self.total = n + v + 1
-        tail = (class_counts + class_words + 1) / (class_words + 1) / self.total
-        self.class_codes = self.code(np.log10(tail))
-        self.head_codes = self.code(np.log10((self.counts + 1) / self.total))
         # a context beyond half a shard's share is dealt to several shards by its successors
         self.fan = np.maximum(1, -(-2 * self.counts // max(1, n // shards))).astype(np.int64)
 
-    @staticmethod
-    def code(logs: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(-logs / LOW_STEP), 0, 255).astype(np.uint8)
-
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.heads, h), max(0, len(self.heads) - 1))
         return at, self.heads[at] == h if len(self.heads) else np.zeros(len(h), bool)
 
-    def codes(self, h: np.ndarray) -> np.ndarray:
-        out = self.class_codes[(h & _U(CLASSES - 1)).astype(np.int64)]
+    def logs(self, h: np.ndarray, tail: np.ndarray, tail_counts: np.ndarray) -> np.ndarray:
+        """Log probability of each word, given the counts of the other words (sorted by hash); words in neither are unseen."""
+        counts = np.zeros(len(h))
+        if len(tail):
+            at = np.minimum(np.searchsorted(tail, h), len(tail) - 1)
+            counts = np.where(tail[at] == h, tail_counts[at], counts)
         at, known = self.find(h)
-        out[known] = self.head_codes[at[known]]
-        return out
+        counts[known] = self.counts[at[known]]
+        counts[h == _U(END)] = self.docs
+        return np.log10((counts + 1) / self.total)
 
     def shard(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         at, known = self.find(contexts)
@@ -116,7 +117,7 @@ class Lower:
 
 
 #: Of a payload's arrays, in order.
-KINDS = ("<u8", "<u4", "<u4", "u1", "<u4", "<u4", "<u2", "<u4")
+KINDS = ("<u8", "<u4", "<u8", "<u4", "<u4", "<u2", "<u4")
 
 
 def _packed(arrays: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
@@ -137,6 +138,99 @@ ROW = "shard int, own boolean, block string, payload binary"
 ROW_ARROW = pa.schema([("shard", pa.int32()), ("own", pa.bool_()), ("block", pa.string()), ("payload", pa.binary())])
 OWN = ("<i8", "u1", "u1", "<i8", "<f8", "<i8")
 SUMS = ("<f8", "<f8", "<i8")
+COUNTS = ("<u8", "<u8")
+ASK = "part int, own boolean, payload binary"
+ASK_ARROW = pa.schema([("part", pa.int32()), ("own", pa.bool_()), ("payload", pa.binary())])
+
+
+def _by_word(h: np.ndarray, other: np.ndarray, own: bool, parts: int) -> pa.RecordBatch:
+    """Words and a number each, dealt by word."""
+    part = (arrow.mixed(h) % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, h, other = part[order], h[order], other[order]
+    names, at = np.unique(part, return_index=True)
+    payloads = [_packed([h[a:b], other[a:b]], COUNTS) for a, b in zip(at, np.append(at[1:], len(part)))]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([own] * len(names), pa.bool_()), pa.array(payloads, pa.binary())], schema=ASK_ARROW)
+
+
+def _counted(parts: int):
+    """The table of the words that aren't heads, dealt by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = [], []
+
+        def flushed() -> pa.RecordBatch:
+            out = _by_word(np.concatenate(words), np.concatenate(counts), True, parts)
+            words.clear()
+            counts.clear()
+            return out
+
+        for batch in batches:
+            words.append(batch.column(0).to_numpy().view(_U))
+            counts.append(batch.column(1).to_numpy())
+            if sum(map(len, words)) > GATHERED:
+                yield flushed()
+        if words:
+            yield flushed()
+
+    return run
+
+
+def _requests(lower: Lower):
+    """Words that aren't heads and the shards that their bigrams are dealt to, dealt by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, shards = [], []
+
+        def flushed() -> pa.RecordBatch:
+            h, s = np.concatenate(words), np.concatenate(shards)
+            words.clear()
+            shards.clear()
+            order = np.lexsort((s, h))
+            h, s = h[order], s[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))[: len(h)]
+            return _by_word(h[new], s[new], False, lower.shards)
+
+        for batch, col in arrow.sliced(batches, "text"):
+            codes, offsets, h = _tokens(col)
+            n = len(h)
+            h = np.append(h, _U(BEGIN))
+            first = np.append(n, codes)[: len(codes)]
+            first[offsets[:-1][np.diff(offsets) > 0]] = n
+            tail = ~lower.find(h)[1][codes]
+            pair = np.unique(first[tail] * (n + 1) + codes[tail])
+            ask = np.unique(lower.shard(h[pair // (n + 1)], h[pair % (n + 1)]) * (n + 1) + pair % (n + 1))
+            words.append(h[ask % (n + 1)])
+            shards.append(ask // (n + 1))
+            if sum(map(len, words)) > GATHERED:
+                yield flushed()
+        if words:
+            yield flushed()
+
+    return run
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """For each shard the words it asked for, with their counts; words without one are left out."""
+    known, asked = [], []
+    for own, payload in zip(table.column("own").to_pylist(), table.column("payload").to_pylist()):
+        (known if own else asked).append(_unpacked(payload, COUNTS))
+    rows = []
+    if known and asked:
+        words, counts = map(np.concatenate, zip(*known))
+        order = np.argsort(words)
+        words, counts = words[order], counts[order]
+        h, s = map(np.concatenate, zip(*asked))
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        found = words[at] == h
+        at, s = at[found], s[found]
+        order = np.lexsort((at, s))
+        at, s = at[order], s[order]
+        new = np.append(True, (at[1:] != at[:-1]) | (s[1:] != s[:-1]))[: len(at)]
+        at, s = at[new], s[new]
+        shards, starts = np.unique(s, return_index=True)
+        rows = [(int(k), False, None, _packed([words[at[a:b]], counts[at[a:b]]], COUNTS)) for k, a, b in zip(shards, starts, np.append(starts[1:], len(s)))]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(ROW_ARROW.types)], schema=ROW_ARROW)
 
 
 def _blocks(lower: Lower):
@@ -154,7 +248,6 @@ def _blocks(lower: Lower):
         codes, offsets, h = _tokens(col)
         n = len(h)
         h = np.concatenate([h, np.array([BEGIN, END], _U)])
-        low = lower.codes(h)
         # words of heads are counted here, those of other words by the shard of their context
         at, head = lower.find(h)
         logs, known = np.zeros(n + 2), np.zeros(n + 2, np.int64)
@@ -189,7 +282,7 @@ def _blocks(lower: Lower):
             vs = v[a:b]
             runs = np.flatnonzero(np.concatenate([[True], vs[1:] != vs[:-1]]))
             e = slice(ends[a], ends[b])
-            arrays = [h[vs[runs]], np.diff(np.append(runs, b - a)), h[w[a:b]] >> _U(32), low[w[a:b]], trained[a:b], sizes[a:b], doc[e], times[e]]
+            arrays = [h[vs[runs]], np.diff(np.append(runs, b - a)), h[w[a:b]], trained[a:b], sizes[a:b], doc[e], times[e]]
             rows.append((s, False, name, _packed(arrays, KINDS)))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), ROW_ARROW.types)], schema=ROW_ARROW)
 
@@ -204,24 +297,31 @@ def model(contexts: np.ndarray, counts: np.ndarray, owner: np.ndarray, words: np
 
 def _shard(lower: Lower):
     def run(table: pa.Table) -> pa.Table:
-        names, rows, parts, docs = [], [], [], []
+        names, rows, parts, docs, counted = [], [], [], [], [[np.empty(0, _U), np.empty(0, _U)]]
         for own, name, payload in zip(*(table.column(c).to_pylist() for c in ("own", "block", "payload"))):
             if own:
                 rows.append((0, True, name, payload))
+            elif name is None:
+                counted.append(_unpacked(payload, COUNTS))
             else:
                 names.append(name)
                 parts.append(_unpacked(payload, KINDS))
-                docs.append(int(parts[-1][6].max()) + 1)
+                docs.append(int(parts[-1][5].max()) + 1)
         if names:
-            of_block = np.repeat(np.arange(len(parts)), [len(p[6]) for p in parts])
-            v, runs, w, low, trained, sizes, doc, times = (np.concatenate(x) for x in zip(*parts))
+            of_block = np.repeat(np.arange(len(parts)), [len(p[5]) for p in parts])
+            v, runs, w, trained, sizes, doc, times = (np.concatenate(x) for x in zip(*parts))
             contexts, which = np.unique(v, return_inverse=True)
             owner = np.repeat(which, runs)
-            pairs, pair = np.unique(owner.astype(_U) << _U(32) | w, return_inverse=True)
+            # the shard's distinct successors are numbered; in the trie the numbers are spread over its 32 bits
+            words, number = np.unique(w, return_inverse=True)
+            tail, tail_counts = map(np.concatenate, zip(*counted))
+            order = np.argsort(tail)
+            word_logs = lower.logs(words, tail[order], tail_counts[order])
+            pairs, pair = np.unique(owner.astype(_U) << _U(32) | number.astype(_U), return_inverse=True)
             count = np.bincount(pair, trained, len(pairs))
             own, word = (pairs >> _U(32)).astype(np.int64), pairs & _U(0xFFFFFFFF)
-            lows = np.zeros(len(pairs))
-            lows[pair] = -LOW_STEP * low
+            lows = word_logs[word.astype(np.int64)]
+            word = word * _U((1 << 32) // len(words))
             at, head = lower.find(contexts)
             total = np.bincount(own, count, len(contexts))
             total[head] = lower.counts[at[head]]
@@ -274,10 +374,9 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     n, v, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == int(np.array([END], _U).view(np.int64)[0]), F.col("c"))), F.lit(0))).first()
     is_head = F.col("c") * HEAD_SHARE >= n
     heads = words.where(is_head).toPandas()  # HEAD_SHARE rows at most
-    classes = words.where(~is_head).groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()  # CLASSES rows at most
-    class_counts, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    class_counts[classes["k"]], class_words[classes["k"]] = classes["c"], classes["v"]
     shards = max(8, math.ceil(n * 7 / 6 / SHARD_TOKENS))
-    lower = Lower(heads["h"].to_numpy(np.int64).view(_U), heads["c"].to_numpy(np.int64), class_counts, class_words, n, v, ends, shards)
-    dealt = rows.mapInArrow(_blocks(lower), ROW).groupBy("shard").applyInArrow(_shard(lower), ROW)
+    lower = Lower(heads["h"].to_numpy(np.int64).view(_U), heads["c"].to_numpy(np.int64), n, v, ends, shards)
+    asked = words.where(~is_head).mapInArrow(_counted(shards), ASK).unionByName(rows.mapInArrow(_requests(lower), ASK))
+    counts = asked.groupBy("part").applyInArrow(_answers, ROW)
+    dealt = rows.mapInArrow(_blocks(lower), ROW).unionByName(counts).groupBy("shard").applyInArrow(_shard(lower), ROW)
     return dealt.groupBy("block").applyInArrow(_together(lower), SCORES)

@@ -1,5 +1,13 @@
 """Queries do their job on all rows, with the operators' own settings."""
 
+import math
+import random
+import zlib
+from collections import Counter
+
+import pytest
+
+from quillveil.llm import lm
 from quillveil.operators import keys
 from quillveil.plans import catalog
 
@@ -14,3 +22,25 @@ def test_key_encryption_takes_every_customer_and_the_full_derivation(spark, monk
     assert {r.k: r.plain for r in got} == names and len(got) == len(names)
     assert {(r.status, r.wrong, r.invalid) for r in got} == {("ok", "WRONG_PASSPHRASE", "INVALID_KEY_FILE")}
     assert rounds == [600_000]
+
+
+@pytest.mark.parametrize("head_share", [lm.HEAD_SHARE, 12])
+def test_language_model_scores_with_each_words_own_count(spark, monkeypatch, head_share):
+    rng = random.Random(8)
+    lexicon = [f"w{k}" for k in range(100)]
+    texts = {d: " ".join(rng.choice(lexicon[: 3 + rng.randint(0, 97)]) for _ in range(rng.randint(0, 20))) for d in range(80)}  # few pairs a shard: a byte holds each log
+    texts |= {1000: "w1 new w1 other new", 1001: None, 1002: "w7 " * 50}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "HEAD_SHARE", head_share)
+    got = {r.doc_id: r.score for r in lm.scored(rows).collect()}
+    toks = {d: ["<s>", *(t or "").split(), "</s>"] for d, t in texts.items()}
+    train = [d for d in toks if zlib.crc32(str(d).encode()) % 7 != 2]
+    one = Counter(w for d in train for w in toks[d][1:])
+    two = Counter(p for d in train for p in zip(toks[d], toks[d][1:]))
+    first = Counter(v for d in train for v in toks[d][:-1])
+    n = sum(one.values())
+    low = {w: (one[w] + 1) / (n + len(one) + 1) for ws in toks.values() for w in ws}
+    assert any(one[w] * 12 < n for w in one) and any(one[w] * 12 < n and one[w] > 5 for w in one) and len(train) < len(toks)
+    for d, ws in toks.items():
+        want = sum(math.log10((two[v, w] + lm.MU * low[w]) / (first[v] + lm.MU)) for v, w in zip(ws, ws[1:]))
+        assert abs(got[d] - want) < 1e-4 * len(ws), (d, got[d], want)
