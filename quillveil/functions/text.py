@@ -114,4 +114,11 @@ def has_word(text: Column, value: Column) -> Column:
     return (F.length(value) > 0) & F.regexp_like(text, bounded(value))
 
 
+def word_starts(text: Column, value: Column) -> Column:
+    """Places of all occurrences of a value as a whole word, overlapping ones too."""
+    gaps = F.split(F.regexp_replace(F.translate(text, "\x01", " "), F.concat(F.lit(f"(?<![{WORDISH}])(?="), literal(value), F.lit(f"(?![{WORDISH}]))")), F.lit("\x01")), "\x01", -1)
+    ends = F.aggregate(gaps, F.expr("cast(array() as array<int>)"), lambda a, p: F.array_append(a, F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), a), -1), F.lit(0)) + F.length(p)))
+    return F.slice(ends, F.lit(1), F.size(ends) - 1)
+
+
 assert sys.maxunicode > 0xFFFF

@@ -32,7 +32,9 @@ def leak_spans(text: Column, key: Column) -> Column:
     runs = T.spans_of(text, RUN, "IL_NUMBER")
     numeric = F.filter(key, lambda k: T.leak_form(k["original"]).rlike("^[0-9.()]+$"))
     numbers = F.flatten(F.transform(numeric, lambda k: F.transform(F.filter(runs, lambda s: T.digits(T.surface(text, s)) == T.digits(k["original"])), lambda s: T.span(s["start"], s["end"], k["type"], 1.0))))
-    return numbers
+    trimmed = F.transform(F.filter(key, lambda k: ~T.leak_form(k["original"]).rlike("^[0-9]+$")), lambda k: F.struct(F.regexp_replace(k["original"], f"^[{T.WS}]+|[{T.WS}]+$", "").alias("original"), k["type"].alias("type")))
+    words = F.flatten(F.transform(F.filter(trimmed, lambda k: F.length(k["original"]) > 0), lambda k: F.transform(T.word_starts(text, k["original"]), lambda at: T.span(at, at + F.length(k["original"]), k["type"], 1.0))))
+    return F.array_distinct(F.concat(numbers, words))
 
 
 def high_confidence(row: Column) -> Column:

@@ -149,6 +149,23 @@ def leak_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("k", found.alias("found"), "written")
 
 
+@query(
+    PLANTED_SQL
+    + """, t AS (SELECT k, 'גלים ' || substr('אבגדהוזחטיכלמנסעפצקר', (1 + k % 20)::INT, 1) || 'לון' AS name, iban, '+972-5' || (k % 10) || '-' || seven AS mobile FROM p),
+s AS (SELECT *, length(name) + 6 AS a, 2 * length(name) + 8 AS b, 2 * length(name) + length(iban) + 9 AS c FROM t)
+SELECT k, 'PERSON' AS type, a::INT AS start, (a + length(name))::INT AS "end", name AS value FROM s UNION ALL SELECT k, 'IL_IBAN', b::INT, (b + length(iban))::INT, iban FROM s UNION ALL SELECT k, 'IL_PHONE', c::INT, (c + length(mobile))::INT, mobile FROM s"""
+)
+def leak_heal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A surviving name, IBAN and +972 phone are found as whole words; the name inside a longer word isn't."""
+    name = F.expr("concat('גלים ', substr('אבגדהוזחטיכלמנסעפצקר', CAST(1 + k % 20 AS INT), 1), 'לון')")
+    p = planted(spark, sf_dir).select("k", name.alias("name"), "iban", F.concat(F.lit("+972-"), F.expr("substring(phone, 2)")).alias("mobile"))
+    p = p.withColumn("text", F.concat(F.lit("ו"), "name", F.lit(" ראו "), "name", F.lit(", "), "iban", F.lit(" "), "mobile", F.lit(".")))
+    row = lambda c, t: F.struct(F.lit(f"[{t}_1]").alias("placeholder"), F.col(c).alias("original"), F.lit(t).alias("type"))
+    key = F.array(row("name", "PERSON"), row("iban", "IL_IBAN"), row("mobile", "IL_PHONE"))
+    s = p.select("k", "text", F.explode(verify.leak_spans(F.col("text"), key)).alias("s"))
+    return s.select("k", "s.type", "s.start", "s.end", T.surface(F.col("text"), F.col("s")).alias("value"))
+
+
 @query(PLANTED_SQL + "SELECT k, 'validated' AS id, 'ocr' AS short_id, 'validated' AS iban, 'unreadable' AS lost, 'ocr' AS person, (k % 100000 > 9999) AS survivor FROM p")
 def scan_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = planted(spark, sf_dir)

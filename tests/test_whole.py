@@ -6,9 +6,10 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillveil.llm import lm
-from quillveil.operators import keys
+from quillveil.operators import keys, masking, verify
 from quillveil.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,14 @@ def test_language_model_scores_with_each_words_own_count(spark, monkeypatch, hea
     for d, ws in toks.items():
         want = sum(math.log10((two[v, w] + lm.MU * low[w]) / (first[v] + lm.MU)) for v, w in zip(ws, ws[1:]))
         assert abs(got[d] - want) < 1e-4 * len(ws), (d, got[d], want)
+
+
+def test_leak_spans_find_words_and_numbers(spark):
+    text = "כהן פגש את מכהן, mail dana@example.com (a@dana@example.com) a a a +972-52-1234567; 05-2-1 גלים בע\"מ \\Q.\\E 12.07.1981"
+    key = [("כהן", "PERSON"), (" dana@example.com ", "EMAIL_ADDRESS"), ("a a", "MANUAL"), ("+972-52-1234567", "IL_PHONE"), ("0521", "IL_BAR"), ("גלים בע\"מ", "ORGANIZATION"), ("\\Q.\\E", "MANUAL"), ("12.07.1981", "DATE_OF_BIRTH"), ("", "MANUAL"), (" ", "MANUAL"), (None, "MANUAL"), ("absent", "MANUAL")]
+    rows = spark.createDataFrame([(text, [("[X_1]", o, t) for o, t in key]), (None, []), ("", [("[X_1]", "x", "MANUAL")])], f"text string, key {masking.KEY}")
+    got = rows.select(verify.leak_spans(F.col("text"), F.col("key")).alias("s")).collect()
+    found = sorted((s.start, text[s.start : s.end], s.type) for s in got[0].s)
+    mail = text.index("dana@")
+    assert found == sorted([(0, "כהן", "PERSON"), (mail, "dana@example.com", "EMAIL_ADDRESS"), (text.index("a@dana") + 2, "dana@example.com", "EMAIL_ADDRESS"), (text.index("a a a"), "a a", "MANUAL"), (text.index("a a a") + 2, "a a", "MANUAL"), (text.index("+972"), "+972-52-1234567", "IL_PHONE"), (text.index("05-2"), "05-2-1", "IL_BAR"), (text.index("גלים"), "גלים בע\"מ", "ORGANIZATION"), (text.index("\\Q"), "\\Q.\\E", "MANUAL"), (text.index("12.07"), "12.07.1981", "DATE_OF_BIRTH")])
+    assert not got[1].s and not got[2].s
