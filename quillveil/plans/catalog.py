@@ -126,7 +126,7 @@ def planted_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = planted(spark, sf_dir).select("k", "id", F.concat(F.lit('ת"ז '), "id", F.lit(" טל "), "phone").alias("text"))
     label = T.span(F.lit(0), F.lit(4) + F.length("id"), "MANUAL", 1.0, F.lit("CLIENT"))
     off = masking.anonymize_with(p, disabled=["IL_PHONE"]).select("k", F.lit("phone_off").alias("option"), "anonymized")
-    shown = masking.anonymize_with(p.where("substr(id, 1, 1) NOT IN ('0', '5')"), disabled=["ISRAELI_ID"]).select("k", F.lit("id_revealed").alias("option"), "anonymized")
+    shown = masking.anonymize_with(p, disabled=["ISRAELI_ID"]).select("k", F.lit("id_revealed").alias("option"), "anonymized")
     own = masking.anonymize_with(p, extra=F.array(label)).select("k", F.lit("with_term").alias("option"), "anonymized")
     return off.unionByName(shown).unionByName(own)
 
