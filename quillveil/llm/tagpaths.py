@@ -31,6 +31,8 @@ CONTAINERS = frozenset("article main section div body td html".split())
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup sidebar widget widgets related recommended share sharing social breadcrumb breadcrumbs menu nav navbar navigation topbar toolbar header masthead footer comment comments disqus replies respond pagination pager login search navigationbar contentinfo complementary".split()
 )
+#: An unquoted value takes the slash after it, so it ends no tag.
+_VALUE = re.compile(r"""=\s*[^\s"'>]+\Z""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
 
@@ -68,6 +70,8 @@ class _Page:
                 continue
             if m[1] or m[4]:
                 self.close(tag)
+            elif tag in ("svg", "math") and (attrs := m[3] or m[6] or "").endswith("/") and not _VALUE.search(attrs):
+                continue  # empty: elements of other languages may close themselves
             elif tag in RAW:
                 lower = page.lower() if lower is None else lower
                 end = lower.find(f"</{tag}", at) if len(lower) == len(page) else -1

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillveil.llm import lm
+from quillveil.llm import lm, tagpaths
 from quillveil.operators import keys, masking, verify
 from quillveil.plans import catalog
 
@@ -71,3 +71,9 @@ def test_planted_filters_reveal_every_customers_id(spark, monkeypatch):
 
     assert {r.id[:2] for r in rows.values()} >= {f"0{d}" for d in range(1, 10)} | {"50", "59"}
     assert got == {k: want(r) for k, r in rows.items()}
+
+
+@pytest.mark.parametrize("tag", ["<svg/>", "<svg class='a' />", '<math alt="x"/>', "<SVG a=b />", "<svg class=a/>x</svg>", "<svg><p>no</p></svg>"])
+def test_text_after_a_self_closed_drawing_stays(tag):
+    page = f"<body><article><p>One, first.</p>{tag}<p>Two, then.</p><p>Three<svg><path/></svg>, last.</p></article></body>"
+    assert tagpaths.main_text(page) == "One, first.\nTwo, then.\nThree, last."
