@@ -50,7 +50,7 @@ def op8_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(sharding.OLD_SHARDS))
-    out = sharding.reshard(docs, old)
+    out = sharding.resharded(docs, old, store.new_path(spark, "resharded"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

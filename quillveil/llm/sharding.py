@@ -90,13 +90,19 @@ def transfers(old_sizes: list[int], heavy: list[tuple[int, int]], shards: int) -
     return placed, min_cost_flow(old_sizes, _level(load, sum(old_sizes)), lambda i, j: int(i != j))
 
 
+def size_of(text: Column) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
+
+
+def crc_of(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def reshard(docs: DataFrame, old_shard: Column, *, shards: int = SHARDS, old_shards: int = OLD_SHARDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's place: doc_id, size, text_crc32, old_shard, shard, slot [, carried columns]. ``old_shard``: 0 to old_shards - 1."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), *carry
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size_of(text).alias("size"), crc_of(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), *carry)
     buckets = 4 * store.partitions(spark)
     rows = store.written(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int")), "sizes")
     mean = (rows.agg(F.sum("size")).first()[0] or 0) / shards
@@ -130,10 +136,49 @@ def reshard(docs: DataFrame, old_shard: Column, *, shards: int = SHARDS, old_sha
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot"), *carry)
 
 
-def rewrite(placed: DataFrame, out: str) -> list[int]:
-    """Write the affected new shards (those that a row enters or leaves) to ``out``, a folder each; the others' files stay as they are."""
+KEY = ("doc_id", "size", "text_crc32", "old_shard")
+WRITTEN = "doc_id long, text string, old_shard int, slot long, shard int"
+
+
+def _with_text(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rows`` (KEY and text) at their places; of rows with the same key each takes one place."""
+    def met(a: DataFrame, b: DataFrame, *names: str) -> DataFrame:
+        b = b.select(*(F.col(c).alias(f"p_{c}") if c in names else F.col(c) for c in b.columns))
+        on = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in names]
+        return a.join(b, on).drop(*(f"p_{c}" for c in names))
+
+    groups = placed.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("shard", "slot")).alias("place"))
+    groups = store.written(groups.select(*KEY, "n", "place.*"), "places")
+    single = groups.where("n = 1").drop("n")
+    out = met(rows, store.small(single, groups.count(), 64), *KEY)
+    many = groups.where("n > 1").select(*KEY)
+    if many.head(1):
+        copy = lambda *by: F.row_number().over(Window.partitionBy(*KEY).orderBy(*by)).alias("copy")
+        places = met(placed.select(*KEY, "shard", "slot"), many, *KEY).select("*", copy("shard", "slot"))
+        out = out.unionByName(met(met(rows, many, *KEY).select("*", copy("text")), places, *KEY, "copy").drop("copy"))
+    return out
+
+
+def rewrite(docs: DataFrame, old_shard: Column, placed: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+    """Write the affected shards (those that a row enters or leaves) to ``out``, a folder each, an empty one for a shard that all
+    rows leave; the others' files stay as they are. ``placed``: what ``reshard`` gave for the same rows."""
     moved = placed.where("shard <> old_shard")
     affected = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})  # old and new shards at most
-    rows = placed.where(F.col("shard").isin(affected)) if affected else placed.limit(0)
-    rows.withColumn("bucket", F.pmod(F.col("slot"), F.lit(store.partitions(placed.sparkSession)))).repartition("shard", "bucket").drop("bucket").write.partitionBy("shard").parquet(out)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), size_of(text).alias("size"), crc_of(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    placed = placed.where(F.col("shard").isin(affected)) if affected else placed.limit(0)
+    held = {r[0] for r in placed.select("shard").distinct().collect()}
+    rows = _with_text(rows, placed).withColumn("bucket", F.pmod(F.col("slot"), F.lit(store.partitions(docs.sparkSession))))
+    rows.repartition("shard", "bucket").select("doc_id", "text", "old_shard", "slot", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(out)
+    for k in set(affected) - held:
+        docs.sparkSession.createDataFrame([], WRITTEN).drop("shard").write.parquet(f"{out}/shard={k}")
     return affected
+
+
+def resharded(docs: DataFrame, old_shard: Column, out: str, **options) -> DataFrame:
+    """As ``reshard``, with the affected shards written to ``out`` and their rows' sizes, checksums and places taken from the files."""
+    placed = store.written(reshard(docs, old_shard, **options), "placed")
+    affected = rewrite(docs, old_shard, placed, out)
+    read = docs.sparkSession.read.schema(WRITTEN).parquet(out)
+    read = read.select("doc_id", size_of(F.col("text")).alias("size"), crc_of(F.col("text")).alias("text_crc32"), "old_shard", "shard", "slot")
+    return read.unionByName(placed.where(~F.col("shard").isin(affected)) if affected else placed)

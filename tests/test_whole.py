@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillveil.llm import lm, tagpaths
+from quillveil.llm import lm, queries, sharding, tagpaths
 from quillveil.operators import keys, masking, verify
 from quillveil.plans import catalog
 
@@ -77,3 +77,29 @@ def test_planted_filters_reveal_every_customers_id(spark, monkeypatch):
 def test_text_after_a_self_closed_drawing_stays(tag):
     page = f"<body><article><p>One, first.</p>{tag}<p>Two, then.</p><p>Three<svg><path/></svg>, last.</p></article></body>"
     assert tagpaths.main_text(page) == "One, first.\nTwo, then.\nThree, last."
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_shards_are_written_and_read_back(spark, tmp_path, repeats):
+    rows = [(k, "é" * (k % 37) + str(k), k % 4) for k in range(200)] + [(None, "none", 3), (900, None, 1)]
+    rows += [(7, rows[7][1], 3), (7, "other", 3), (None, "none", 3), (None, "none", 3)] if repeats else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, home int").repartition(3)
+    out = f"file://{tmp_path}/s"
+    got = sharding.resharded(docs, F.col("home"), out, shards=3, old_shards=4).collect()
+    want = sorted((str(d), len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), h) for d, t, h in rows)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32, r.old_shard) for r in got) == want
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    files = spark.read.schema(sharding.WRITTEN).parquet(out).collect()
+    assert Counter((r.doc_id, r.text, r.old_shard) for r in files) == Counter(rows)
+    assert spark.read.parquet(f"{out}/shard=3").count() == 0  # all its rows have left
+
+
+def test_registered_resharding_writes_its_shards(spark, monkeypatch):
+    outs, rewrite = [], sharding.rewrite
+    monkeypatch.setattr(sharding, "rewrite", lambda docs, old, placed, out: (outs.append(out), rewrite(docs, old, placed, out))[1])
+    got = queries.op9_flow_reshard(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in queries.documents(spark, SF).collect()}
+    files = spark.read.schema(sharding.WRITTEN).parquet(outs[0]).collect()
+    assert {r.doc_id: r.text for r in files} == texts and len(got) == len(files) == len(texts)
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in files}
