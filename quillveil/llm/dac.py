@@ -122,7 +122,7 @@ def _segments(path: str, end: int, id_col: str, text_col: str):
             seq, held, size = seq + 1, [], 0
             return out
 
-        for batch, col in arrow.sliced(batches, text_col, 1 << 20):
+        for batch, col in arrow.sliced(batches, text_col):
             ids, offsets = tokens.with_end(*enc.encode(col), end)
             docs = batch.column(batch.schema.get_field_index(id_col))
             held.append((docs.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), docs.is_null().to_numpy(zero_copy_only=False), ids, np.diff(offsets)))
@@ -140,14 +140,14 @@ SEGMENT_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs",
 
 
 def write_tokens(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = 1) -> None:
-    """Write the ids of all whole texts, in ascending ``id_col`` order, as token segments (one Parquet row each) to folder ``out``.
+    """Write the ids of all whole texts, in ascending ``id_col`` order, as token segments (one Parquet row each, not compressed: a token is read where it lies) to folder ``out``.
 
     One shuffle: the texts are dealt by ranges of ``id_col``; ``part`` ascends with it, and ``seq`` inside a part.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(store.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_segments(path or tokens.default_path(), end, "doc_id", "text"), SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(out)
+    rows.mapInArrow(_segments(path or tokens.default_path(), end, "doc_id", "text"), SEGMENT_SCHEMA).write.option("compression", "none").parquet(out)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +161,42 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([docs, pa.array(s.offsets[:-1] + base), pa.array(np.diff(s.offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_tokens(spark, out: str) -> DataFrame:
-    """Per document of the segments in ``out``: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def _segments_of(spark, out: str) -> tuple[DataFrame, DataFrame, int]:
+    """The segments in ``out``, the place of each (part, seq, n_tokens, base: ids of all segments before it), and the number of parts."""
     files = spark.read.schema(SEGMENT_SCHEMA).parquet(out)
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # as many as the write had partitions
     bases = {r["part"]: b for r, b in zip(parts, np.concatenate([[0], np.cumsum([r["n"] for r in parts])]).tolist())}
     first = spark.createDataFrame(list(bases.items()), "part int, base long")
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("part", "seq", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    starts = starts.join(F.broadcast(first), "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("base"))
-    rows = files.select("part", "seq", "payload").join(store.small(starts, 64 * len(parts), 24), ["part", "seq"]).select("payload", "base")
+    starts = starts.join(store.small(first, len(parts), 12), "part").select("part", "seq", "n_tokens", (F.col("base") + F.col("inside")).alias("base"))
+    return files, starts, len(parts)
+
+
+def read_tokens(spark, out: str) -> DataFrame:
+    """Per document of the segments in ``out``: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    files, starts, parts = _segments_of(spark, out)
+    rows = files.select("part", "seq", "payload").join(store.small(starts.drop("n_tokens"), 64 * parts, 24), ["part", "seq"]).select("payload", "base")
     return rows.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw, base, places in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            s = Segment(raw.as_buffer())
+            yield pa.RecordBatch.from_pydict({"position": pa.array(places, pa.int64()), "token_id": pa.array([s.token(p - base) for p in places], pa.int64())})
+
+
+def token_at(spark, out: str, positions: DataFrame, *, position_col: str = "position") -> DataFrame:
+    """position, token_id of the wanted places in the whole stream of ids; places beyond its end give no row, repeated ones one.
+
+    Places and segments meet by blocks of ``SEGMENT_TOKENS`` places; a segment is read where it is wanted, one rank a level for
+    each token, and none of its neighbours is decoded.
+    """
+    files, starts, _ = _segments_of(spark, out)
+    block = lambda c: F.floor(c / SEGMENT_TOKENS).cast("long")
+    starts = starts.where("n_tokens > 0").withColumn("block", F.explode(F.sequence(block(F.col("base")), block(F.col("base") + F.col("n_tokens") - 1))))
+    wanted = positions.select(F.col(position_col).cast("long").alias("position")).where("position >= 0").distinct().withColumn("block", block(F.col("position")))
+    met = wanted.join(starts, "block").where("position >= base and position < base + n_tokens")
+    met = met.groupBy("part", "seq", "base").agg(F.collect_list("position").alias("places"))  # a segment's tokens at most
+    return files.join(met, ["part", "seq"]).select("payload", "base", "places").mapInArrow(_picked, "position long, token_id long")

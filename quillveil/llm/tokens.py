@@ -1,9 +1,10 @@
 """Token ids of whole texts with a public vocabulary file and the tokenizers library.
 
 The word-BPE vocabulary drops white space before anything else looks at the text, so a text's ids are those of its
-white-space separated chunks, one after the other. Each distinct chunk is encoded once and kept in a bounded cache of the
-Python worker; a chunk of plain letters, digits and punctuation is taken apart with the vocabulary's own pre-token pattern
-and its pre-tokens go through the library's BPE model in bulk, any other chunk goes through the library's whole encoder.
+white-space separated chunks, one after the other. Each distinct chunk of a slice of texts is encoded once: chunks of plain
+letters, digits and punctuation are taken apart in Arrow with the vocabulary's own pre-token pattern, and their distinct
+pre-tokens go through the library's BPE model in bulk; any other chunk goes through the library's whole encoder. Nothing is kept
+from one slice to the next, so a worker holds one slice and the vocabulary.
 """
 
 from __future__ import annotations
@@ -12,15 +13,15 @@ import os
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 
 from . import arrow
 
-#: Distinct chunks that a worker keeps before it starts afresh.
-CACHE_WORDS = 600_000
 # The pre-token pattern of the vocabulary file, and characters whose case and class no Unicode version disputes.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"[!-~À-ÖØ-öø-įı-ňŊ-ž]+"
+#: Pre-tokens that go to the model as one line.
+LINE = 512
 
 
 def default_path() -> str:
@@ -30,7 +31,7 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of texts, flat, with a cache of chunks."""
+    """Ids of texts, flat."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,23 +45,13 @@ class Encoder:
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
-        self.bytes_as = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.split = regex.compile(PRETOKEN).findall
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.clear()
+        self.bytes_as = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest) if b != 32}
         arrow.release()
 
-    def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
     def _pretokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens and where each begins (one more entry)."""
-        table = self.bytes_as
-        seen = [p if p.isascii() else p.encode().decode("latin-1").translate(table) for p in pieces]
-        lines = [" ".join(seen[i : i + 512]) for i in range(0, len(seen), 512)]
+        lines = [" ".join(pieces[i : i + LINE]) for i in range(0, len(pieces), LINE)]
+        lines = [x if x.isascii() else x.encode().decode("latin-1").translate(self.bytes_as) for x in lines]
         got = self.model.encode_batch_fast(lines, add_special_tokens=False)
         ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in got]) if got else np.empty(0, np.uint32)
         bounds = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
@@ -68,37 +59,28 @@ class Encoder:
             raise RuntimeError("the vocabulary doesn't mark the ends of its pre-tokens")
         return ids, bounds
 
-    def _learn(self, new: list[str]) -> None:
-        own: dict[str, int] = {}
-        parts: list[int] = []
-        counts = np.zeros(len(new), np.int64)
-        odd: list[int] = []
-        for k, w in enumerate(new):
-            if w.isascii() and w.isalpha():
-                parts.append(own.setdefault(w.lower(), len(own)))
-                counts[k] = 1
-            elif self.plain(w) and "<|" not in w:
-                found = self.split(w.lower())
-                parts += [own.setdefault(p, len(own)) for p in found]
-                counts[k] = len(found)
-            else:
-                odd.append(k)
-        ids, bounds = self._pretokens(list(own))
-        use = np.asarray(parts, np.int64)
-        sizes = np.diff(bounds)[use] if len(use) else np.empty(0, np.int64)
-        flat = ids[arrow.spread(bounds[use], sizes)] if len(use) else np.empty(0, np.uint32)
-        lens = arrow.segment_sums(sizes, np.concatenate([[0], np.cumsum(counts)]))
-        base = len(self.flat)
-        starts = base + np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-        tail, at = [], base + len(flat)
-        for k, e in zip(odd, self.whole.encode_batch([new[k] for k in odd], add_special_tokens=False)):
-            tail.append(np.asarray(e.ids, np.uint32))
-            starts[k], lens[k] = at, len(e.ids)
-            at += len(e.ids)
-        first = len(self.slot)
-        self.slot.update(zip(new, range(first, first + len(new))))
-        self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat, *tail])
+    def _chunks(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks, and where each chunk's ids begin and how many they are."""
+        plain = pc.and_not(pc.match_substring_regex(distinct, f"^{PLAIN}$"), pc.match_substring(distinct, "<|")).to_numpy(zero_copy_only=False)
+        starts, lens = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        # matches by number: a group in the pattern would take six times as long
+        spaced = pc.replace_substring_regex(pc.utf8_lower(distinct.filter(pa.array(plain))), PRETOKEN, r" \0")
+        pretokens, offsets = arrow.words(spaced)
+        flat = np.empty(0, np.uint32)
+        if len(pretokens):
+            codes, own = arrow.coded(pretokens)
+            ids, bounds = self._pretokens(own.to_pylist())
+            sizes = np.diff(bounds)[codes]
+            flat = ids[arrow.spread(bounds[codes], sizes)]
+            at = np.concatenate([[0], np.cumsum(sizes)])[offsets]
+            starts[plain], lens[plain] = at[:-1], np.diff(at)
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            tail = [np.asarray(e.ids, np.uint32) for e in self.whole.encode_batch_fast(distinct.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+            lens[odd] = [len(x) for x in tail]
+            starts[odd] = len(flat) + np.concatenate([[0], np.cumsum(lens[odd])[:-1]])
+            flat = np.concatenate([flat, *tail])
+        return flat, starts, lens
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts and where each text's ids begin (one more entry than texts)."""
@@ -106,19 +88,13 @@ class Encoder:
         if not len(flat):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         codes, distinct = arrow.coded(flat)
-        seen = distinct.to_pylist()
-        if len(self.slot) + len(seen) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in seen if w not in self.slot]
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, seen), np.int64, len(seen))[codes]
-        lens = self.lens[slots]
-        return self.flat[arrow.spread(self.starts[slots], lens)], np.concatenate([[0], np.cumsum(lens)])[offsets]
+        ids, starts, lens = self._chunks(distinct)
+        sizes = lens[codes]
+        return ids[arrow.spread(starts[codes], sizes)], np.concatenate([[0], np.cumsum(sizes)])[offsets]
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for this file; workers keep it over batches and tasks, until one of another kind comes."""
+    """The worker's encoder for this file; workers keep it over tasks, until one of another kind comes."""
     if path not in arrow.kept:
         arrow.forget()
         arrow.kept[path] = Encoder(path)

@@ -64,6 +64,27 @@ def test_segment_gives_any_token(tmp_path):
         assert (s.document(1) == ids[4000:]).all()
 
 
+def test_any_token_of_the_stream(spark, docs, encoded, tmp_path, monkeypatch):
+    monkeypatch.setattr(dac, "SEGMENT_TOKENS", 500)
+    dac.write_tokens(docs, f"file://{tmp_path}/t")
+    stream = [t for d in sorted(encoded, key=lambda d: (d is not None, d or 0)) for t in [*encoded[d], 1]]
+    places = [*range(0, len(stream), 97), len(stream) - 1, 0, 0, -1, len(stream), None]
+    got = dac.token_at(spark, f"file://{tmp_path}/t", spark.createDataFrame([(p,) for p in places], "position long")).collect()
+    assert sorted(map(tuple, got)) == sorted({(p, stream[p]) for p in places if p is not None and 0 <= p < len(stream)})
+
+
+def test_token_codes_of_an_empty_table(spark, docs, tmp_path):
+    dac.write_tokens(docs.limit(0), f"file://{tmp_path}/t")
+    assert dac.read_tokens(spark, f"file://{tmp_path}/t").count() == 0
+
+
+def test_token_codes_of_repeated_rows(spark, tmp_path):
+    rows = [(5, "one two"), (5, "one two"), (5, "another"), (None, None), (None, "x")]
+    dac.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/t")
+    got = dac.read_tokens(spark, f"file://{tmp_path}/t").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 5, 5, 5] and got[3].ids_crc32 == got[4].ids_crc32 != got[2].ids_crc32
+
+
 def test_packing(docs, encoded):
     got = packing.pack(docs, size=64, keep_ids=True).collect()
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in got} == {(d, k // 64): crc((i + [0])[k : k + 64]) for d, i in encoded.items() for k in range(0, len(i) + 1, 64)}
