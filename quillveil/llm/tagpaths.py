@@ -1,12 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes with their root-to-leaf tag paths. Menus, forms, notices and the like go by their element
-or by the words of their class, id or role. Over the rest, each path's text length and punctuation a node (without link text)
-are smoothed along the page, fused and held against their spread; the nodes of paths that pass are content. The article (or
-main element, or else the container) that holds the content nodes gives all its blocks, short ones too.
+A page is read once into text nodes with their root-to-leaf tag paths. Of each path, the mean length and punctuation of its nodes
+(links count in the article only) are fused, smoothed along the page, averaged over the path and held against a threshold: the
+nodes of the paths that pass are content, and the innermost container of them all is the article. A path that lies in it passes a
+second, lower threshold too, so that headings, short items and cells come along.
 
-Defined results: null, empty and text-less pages give an empty text; an unclosed element ends with its parent; rows that repeat
-a page_id are read each; other columns are not looked at.
+What an element says of itself is a prior on its paths' scores: nodes of menus, forms, notices and the like (by element, or by the
+words of class, id or role) count ``NOISE_PRIOR``, those of an article or main element ``ARTICLE_PRIOR`` times. The ratios decide.
+
+Defined results: null, empty and text-less pages, and pages without a path that passes, give an empty text; an unclosed element
+ends with its parent; rows that repeat a page_id are read each; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -14,12 +17,15 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrow
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video select textarea title".split())
@@ -31,11 +37,23 @@ CONTAINERS = frozenset("article main section div body td html".split())
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup sidebar widget widgets related recommended share sharing social breadcrumb breadcrumbs menu nav navbar navigation topbar toolbar header masthead footer comment comments disqus replies respond pagination pager login search navigationbar contentinfo complementary".split()
 )
+LAYOUT, ENTRY, OWN_HEAD = frozenset("has with no without".split()), frozenset("entry post article content story page".split()), frozenset("header masthead banner".split())
+#: Priors on a path's score; longer or more punctuated nodes than these count as such; thresholds: least score, share of the best
+#: score that makes content, share that suffices inside the article.
+NOISE_PRIOR, ARTICLE_PRIOR, MOST_LENGTH, MOST_MARKS, LEAST_SCORE, CONTENT_SHARE, INNER_SHARE = 0.002, 4.0, 300, 6, 1.0, 0.5, 0.02
 #: An unquoted value takes the slash after it, so it ends no tag.
 _VALUE = re.compile(r"""=\s*[^\s"'>]+\Z""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
 
+def _noise_words(name: str) -> set[str]:
+    """Words of a class, id or role that speak of noise; ``has-sidebar`` tells of a layout, ``entry-header`` of the article's own head."""
+    words = re.split(r"[^a-z0-9]+", name)
+    if len(words) > 1 and words[0] in LAYOUT:
+        return set()
+    return NOISE.intersection(words) - (OWN_HEAD if words[0] in ENTRY else set())
+
+
 def _noise(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in DROPPED or tag == "header" and not in_article:
         return True
@@ -46,20 +64,32 @@ def _noise(tag: str, attrs: str, in_article: bool) -> bool:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name in ("class", "id", "role"):
-            found = NOISE.intersection(re.split(r"[^a-z0-9]+", value))
+            found = set().union(*map(_noise_words, value.split()))
             if found and (tag != "article" or found & {"comment", "comments", "related", "ad", "sponsored"}):
                 return True
     return False
 
 
+class Block(NamedTuple):
+    """A text node: its text, tag path, block elements around it (by number), characters in links, and what its elements say."""
+
+    text: str
+    path: str
+    around: tuple[int, ...]
+    linked: int
+    noise: bool
+    article: bool
+
+
 class _Page:
-    """Blocks of a page: text, tag path, ancestors that are containers, characters in links."""
+    """Blocks of a page in order."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, str, tuple[int, ...], int]] = []
+        self.blocks: list[Block] = []
         self.names: list[str] = []  # of the elements, by number
         self.stack: list[tuple[str, int, bool]] = [("", -1, False)]
         self.buffer: list[str] = []
+        self.aside: list[str] = []  # text of noisy inline elements, kept out of the paragraph around them
         self.linked = 0
         lower, at = None, 0
         for m in iter(lambda: _TOKEN.search(page, at), None):
@@ -84,18 +114,27 @@ class _Page:
         self.flush()
 
     def text(self, raw: str) -> None:
-        if raw and not self.stack[-1][2]:
-            self.buffer.append(raw)
-            if any(s[0] == "a" for s in self.stack[-3:]):
-                self.linked += len(raw.strip())
+        if not raw:
+            return
+        if self.stack[-1][2] and not self.noisy():
+            self.aside.append(raw)
+            return
+        self.buffer.append(raw)
+        if any(s[0] == "a" for s in self.stack[-3:]):
+            self.linked += len(raw.strip())
+
+    def noisy(self) -> bool:
+        """Whether the innermost block element is noise itself."""
+        return next((s[2] for s in reversed(self.stack) if s[0] not in INLINE), False)
 
     def flush(self) -> None:
-        if self.buffer:
-            text = " ".join(html.unescape("".join(self.buffer)).split())
+        own = [s for s in self.stack[1:] if s[0] not in INLINE]
+        around, article = tuple(s[1] for s in own), any(s[0] in ("article", "main") for s in own)
+        for parts, linked, noise in ((self.buffer, self.linked, self.noisy()), (self.aside, 0, True)):
+            text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
             if text:
-                own = [s for s in self.stack[1:] if s[0] not in INLINE]
-                self.blocks.append((text, "/".join(s[0] for s in own), tuple(s[1] for s in own), self.linked))
-            self.buffer, self.linked = [], 0
+                self.blocks.append(Block(text, "/".join(s[0] for s in own) + "!" * noise, around, linked, noise, article))
+        self.buffer, self.aside, self.linked = [], [], 0
 
     def open(self, tag: str, attrs: str) -> None:
         if tag in VOID:
@@ -143,48 +182,36 @@ class _Page:
                 return
 
 
-def scores(blocks: list[tuple[str, str, tuple[int, ...], int]]) -> np.ndarray:
-    """Fused, smoothed ratio of each block's path."""
-    paths = {p: k for k, p in enumerate(dict.fromkeys(b[1] for b in blocks))}
-    which = np.array([paths[b[1]] for b in blocks])
+def scores(blocks: list[Block]) -> np.ndarray:
+    """Fused, smoothed ratio of each block's path, times its prior."""
+    paths = {p: k for k, p in enumerate(dict.fromkeys(b.path for b in blocks))}
+    which = np.array([paths[b.path] for b in blocks])
     nodes = np.bincount(which)
-    length = np.bincount(which, [max(0, len(b[0]) - b[3]) for b in blocks]) / nodes
-    marks = np.bincount(which, [len(_PUNCTUATION.findall(b[0])) for b in blocks]) / nodes
-    fused = (np.log1p(length) * (1 + np.log1p(marks)))[which]
+    length = np.bincount(which, [min(MOST_LENGTH, len(b.text) - (0 if b.article else min(b.linked, len(b.text)))) for b in blocks]) / nodes
+    marks = np.bincount(which, [min(MOST_MARKS, len(_PUNCTUATION.findall(b.text))) for b in blocks]) / nodes
+    prior = np.array([NOISE_PRIOR if b.noise else ARTICLE_PRIOR if b.article else 1.0 for b in blocks])
+    noise = np.array([NOISE_PRIOR if b.noise else 1.0 for b in blocks])
+    fused = (np.log1p(length) * (1 + np.log1p(marks)))[which] * prior
     padded = np.concatenate([fused[:1], fused, fused[-1:]])
-    smooth = 0.25 * padded[:-2] + 0.5 * fused + 0.25 * padded[2:]
+    smooth = (0.15 * padded[:-2] + 0.7 * fused + 0.15 * padded[2:]) * noise  # noise beside content stays noise
     return (np.bincount(which, smooth) / nodes)[which]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, one a line."""
-    if not page:
-        return ""
-    found = _Page(page)
+    found = _Page(page or "")
     blocks = found.blocks
     if not blocks:
         return ""
     score = scores(blocks)
-    content = np.flatnonzero(score >= max(score.std(), 0.5 * score.max()))
-    sizes: dict[int, int] = {}
-    for k in content:
-        for e in blocks[k][2]:
-            if found.names[e] in ("article", "main"):
-                sizes[e] = sizes.get(e, 0) + len(blocks[k][0])
-                break
-    if sizes:
-        whole = sum(len(blocks[k][0]) for k in content)
-        root = max(sizes, key=lambda e: (sizes[e], -e))
-        if 2 * sizes[root] >= whole:
-            return "\n".join(b[0] for b in blocks if root in b[2])
-        roots = set(sizes)
-        return "\n".join(b[0] for b in blocks if roots.intersection(b[2]))
-    shared = set(blocks[content[0]][2])
-    for k in content:
-        shared &= set(blocks[k][2])
+    content = score >= max(LEAST_SCORE, score.std(), CONTENT_SHARE * score.max())
+    if not content.any():
+        return ""
+    shared = set.intersection(*(set(b.around) for b, c in zip(blocks, content) if c))
     inner = max((e for e in shared if found.names[e] in CONTAINERS), default=None)
-    held = set(content.tolist())
-    return "\n".join(b[0] for k, b in enumerate(blocks) if k in held or (inner in b[2] if inner is not None else True) and 2 * b[3] < len(b[0]))
+    near = score >= INNER_SHARE * score.max()
+    own = [b.text for b, c, n in zip(blocks, content, near) if c or n and (inner is None or inner in b.around) and (b.article or 2 * b.linked < len(b.text))]
+    return "\n".join(own)
 
 
 def extracted(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -192,9 +219,10 @@ def extracted(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...]
     kinds = dict(pages.select(*keep).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [main_text(x) for x in batch.column(len(keep)).to_pylist()]
+        arrow.forget()
+        for batch, col in arrow.sliced(batches, "quillveil_html"):
+            out = [main_text(x) for x in col.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], [*keep, "text", "n_chars"])
 
-    rows = pages.select(*keep, F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(*keep, F.col(html_col).cast("string").alias("quillveil_html"))
     return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", text string, n_chars long")
