@@ -5,7 +5,8 @@ The statistics of a batch come from numpy passes over its bytes, words and lines
 The score may only fall as symbols, repeated lines, repeated words or upper-case letters get more.
 
 Defined results: a null or empty text has no words and fails the base limits; without labels of both classes the base limits
-alone decide; rows that repeat a doc_id are judged each; an empty table gives no rows; other columns are not looked at.
+alone decide; rows that repeat a doc_id are judged each, and one of them (least label, then least statistics) is fitted on; an
+empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, col in arrow.sliced(batches, "text", 4 << 20):
         counts, x = statistics(col)
         ok = ~base_failed(counts)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.FixedSizeListArray.from_arrays(x[ok].ravel(), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(ok)) for k in (0, 1)), pa.FixedSizeListArray.from_arrays(x[ok].ravel(), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_LABELLED) -> trees.Forest | None:
@@ -97,7 +98,9 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna()
     own = own.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "doc_id")
-    got = rows.select("y", "text").mapInArrow(_features, "y int, x array<double>").limit(2 * most).toPandas()  # 2 * most rows of a few numbers
+    seen = rows.select("doc_id", "y", "text").mapInArrow(_features, "doc_id long, y int, x array<double>")
+    got = seen.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("first")).select("doc_id", "first.*").toPandas()  # at most ``most`` rows of a few numbers
+    got = got.sort_values("doc_id")
     y = got["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return None

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest table (rows times estimated row bytes) that an operator broadcasts; larger ones are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: What a row takes in a broadcast table beside its values.
+ROW_BYTES = 48
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='quillveil-')}"
     spark.conf.set("spark.checkpoint.dir", own)
@@ -37,8 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if ``rows * row_bytes`` is within ``limit``; else as it is, to be shuffled."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    """``df`` with a broadcast hint if its rows of ``row_bytes`` values are within ``limit``; else as it is, to be shuffled."""
+    return F.broadcast(df) if rows * (row_bytes + ROW_BYTES) <= limit else df
 
 
 def partitions(spark: SparkSession) -> int:
