@@ -1,45 +1,34 @@
 """Corpus pipeline: quality rules, exact and near deduplication, source mixing, packing.
 
-Each stage works on everything its predecessor kept and returns the columns of its input; the last returns packed pieces.
+Each stage works on everything its predecessor kept and returns the columns of its input; the last returns packed pieces. Rows
+are judged one by one: two texts under one doc_id are two documents, and a null doc_id is in no near-duplicate group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillveil.llm import exact, mixing, near, packing, quality, store
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these doc_ids; their list is broadcast if its size allows."""
-    ids = store.written(ids.where("doc_id is not null").distinct(), "dropped")
-    return docs.join(store.small(ids, ids.count(), 16), "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base limits or that the trees reject go."""
     return quality.kept_rows(docs, quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the longest stays, then the smallest doc_id."""
-    return _without(docs, exact.dropped(docs))
+    """Of texts that are equal but for white space, the longest stays, then the smallest doc_id; of rows alike one."""
+    return exact.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    return _without(docs, near.near_dedup(docs, size=5).where("not kept").select("doc_id"))
+    return near.kept_rows(docs, size=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to twice; one that it doesn't take goes."""
-    taken = mixing.queue(docs).where("taken").groupBy("doc_id", "source", "size").count()
-    taken = store.written(taken.select("doc_id", F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("count").alias("mix_copies")), "taken")
-    sized = docs.withColumn("mix_words", mixing.n_words(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(taken["doc_id"]) & sized["source"].eqNullSafe(taken["mix_source"]) & (sized["mix_words"] == taken["mix_size"])
-    rows = sized.join(store.small(taken, taken.count(), 64), same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.least("mix_copies", F.lit(mixing.EPOCHS)))))
-    return rows.select(*(sized[c] for c in docs.columns))
+    return mixing.taken_rows(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
