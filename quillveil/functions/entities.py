@@ -31,6 +31,9 @@ TYPES = [
     ("IL_NUMBER", "NUM", 1, "numbers", True),
 ]
 NAMES = [t[0] for t in TYPES]
+#: Order of types on equal spans: by name, but an id comes directly before a phone.
+TIE_ORDER = sorted(set(NAMES) - {"ISRAELI_ID"})
+TIE_ORDER.insert(TIE_ORDER.index("IL_PHONE"), "ISRAELI_ID")
 
 
 def _case(kind: Column, values: dict, default) -> Column:
@@ -47,8 +50,7 @@ def priority(kind: Column) -> Column:
 
 
 def tie_rank(kind: Column) -> Column:
-    """Order of types on equal spans: company before id before phone, else by name."""
-    return _case(kind, {"IL_COMPANY": 0, "ISRAELI_ID": 1, "IL_PHONE": 2}, F.lit(3))
+    return _case(kind, {t: k for k, t in enumerate(TIE_ORDER)}, F.lit(len(TIE_ORDER)))
 
 
 def family_of(kind: Column) -> Column:

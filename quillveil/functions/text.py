@@ -5,6 +5,7 @@ Positions are code points. Java's ``\\s`` and ``\\b`` aren't used: the classes b
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -62,21 +63,32 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+#: Characters that detection reads in another form, so that what it looks for may not stand in the text as such.
+UNUSUAL = f"[{INVISIBLE}\\u0660-\\u0669\\u06F0-\\u06F9\\uFB1D-\\uFB4E\\uFF10-\\uFF19]"
+INVISIBLE_RE = re.compile(f"[{INVISIBLE}]")
+
+
+def folds() -> dict[int, str]:
+    """Characters that detection reads in another form: full-width and Arabic digits, canonical forms of single characters, and
+    nothing for invisible ones."""
+    out = {c: n for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (n := unicodedata.normalize("NFC", chr(c))) != chr(c)}
+    out |= {base + d: str(d) for base in (0xFF10, 0x0660, 0x06F0) for d in range(10)}
+    return out | {c: "" for c in range(0x10000) if INVISIBLE_RE.match(chr(c))}
+
+
 def shadow(text: Column) -> Column:
-    """Text as detection reads it: invisible characters dropped, full-width and Arabic digits folded, characters with a one-character canonical form in that form."""
-    folds = {chr(base + d): str(d) for base in (0xFF10, 0x0660, 0x06F0) for d in range(10)}
-    for c in map(chr, range(0x80, 0x10000)):
-        n = unicodedata.normalize("NFC", c) if not 0xD800 <= ord(c) < 0xE000 else c
-        if n != c and len(n) == 1:
-            folds[c] = n
-    return F.translate(F.regexp_replace(text, f"[{INVISIBLE}]", ""), "".join(folds), "".join(folds.values()))
+    """Text as detection reads it: invisible characters dropped, full-width and Arabic digits folded, characters with a one-character
+    canonical form in that form (those with a longer one are folded on Python strings only)."""
+    single = {chr(c): n for c, n in folds().items() if len(n) == 1}
+    return F.translate(F.regexp_replace(text, f"[{INVISIBLE}]", ""), "".join(single), "".join(single.values()))
 
 
 def from_shadow(text: Column, spans: Column) -> Column:
-    """Spans of the shadow as spans of the text; nothing is done where no character was dropped."""
-    at = F.filter(F.sequence(F.lit(0), F.length(text) - 1), lambda i: ~F.substring(text, i + 1, F.lit(1)).rlike(f"[{INVISIBLE}]"))
-    moved = F.transform(spans, lambda s: span(F.element_at(at, s["start"] + 1), F.element_at(at, s["end"]) + 1, s["type"], s["score"], s["label"]))
-    return F.when((F.size(spans) > 0) & text.rlike(f"[{INVISIBLE}]"), moved).otherwise(spans)
+    """Spans of the shadow as spans of the text; nothing is done where no character was dropped. One pass over the characters."""
+    at = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(~c.rlike(f"[{INVISIBLE}]"), i)), lambda i: i.isNotNull())
+    moved = lambda kept: F.transform(spans, lambda s: span(F.element_at(kept, s["start"] + 1), F.element_at(kept, s["end"]) + 1, s["type"], s["score"], s["label"]))
+    once = F.transform(F.array(at), moved)[0]  # a lambda binds the places, so that they are worked out once
+    return F.when((F.size(spans) > 0) & text.rlike(f"[{INVISIBLE}]"), once).otherwise(spans)
 
 
 def surface(text: Column, s: Column) -> Column:

@@ -7,13 +7,14 @@ one Arrow function over the rows that have spans. Detection before it and restor
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Sequence
 
-from ..functions.entities import TYPES
+from ..functions.entities import TIE_ORDER, TYPES
 
 LABEL = {t[0]: t[1] for t in TYPES}
 PRIORITY = {t[0]: t[2] for t in TYPES}
-TIE = {"IL_COMPANY": 0, "ISRAELI_ID": 1, "IL_PHONE": 2}
+TIE = {t: k for k, t in enumerate(TIE_ORDER)}
 # White space, letters and digits of words, marks that don't tell placeholders apart.
 SPACE = "\t\n\x0b\f\r \xa0  -     　﻿"
 WORD = "A-Za-z0-9֐-׿"
@@ -30,7 +31,7 @@ def overlap(a: Span, b: Span) -> bool:
 def resolved(found: Iterable[Span]) -> list[Span]:
     """The strongest spans that don't overlap: by priority, score, length, place, type, then as they came."""
     kept: list[Span] = []
-    for s in sorted(found, key=lambda s: (-PRIORITY.get(s[2], 0), -s[3], s[0] - s[1], s[0], TIE.get(s[2], 3), s[2])):
+    for s in sorted(found, key=lambda s: (-PRIORITY.get(s[2], 0), -s[3], s[0] - s[1], s[0], TIE.get(s[2], len(TIE)), s[2])):
         if not any(overlap(k, s) for k in kept):
             kept.append(s)
     return sorted(kept, key=lambda s: s[:2])
@@ -68,16 +69,21 @@ def completed(text: str, found: list[Span]) -> list[Span]:
     return out
 
 
+def plain_token(token: str) -> str:
+    """A placeholder in canonical form, without marks that don't tell placeholders apart."""
+    return COSMETIC.sub("", token if token.isascii() else unicodedata.normalize("NFC", token))
+
+
 def masked(text: str, used: list[Span]) -> tuple[str, list[tuple[str, str, str]]]:
     """The masked text and its key in order of appearance; numbers whose placeholder is in the text already are skipped."""
-    taken = {COSMETIC.sub("", t) for t in TOKEN.findall(text)}
+    taken = {plain_token(t) for t in TOKEN.findall(text)}
     tokens: dict[tuple[str, str], str] = {}
     key, out, at, last = [], [], 0, {}
     for start, end, kind, _, label in used:
         name, words = label or LABEL.get(kind, kind), text[start:end]
         if (name, words) not in tokens:
             n = last.get(name, 0) + 1
-            while COSMETIC.sub("", f"[{name}_{n}]") in taken:
+            while plain_token(f"[{name}_{n}]") in taken:
                 n += 1
             last[name] = n
             tokens[name, words] = f"[{name}_{n}]"

@@ -18,31 +18,49 @@ KEY = "array<struct<placeholder:string,original:string,type:string>>"
 _ROW = K.StructType([K.StructField("spans", T.SPANS_TYPE), K.StructField("key", K.ArrayType(K.StructType([K.StructField(c, K.StringType()) for c in ("placeholder", "original", "type")]))), K.StructField("anonymized", K.StringType())])
 
 
-def _processed(excluded: Sequence[str], disabled: Sequence[str], remainders: bool):
+def _processed(excluded: Sequence[str], disabled: Sequence[str], remainders: bool, detect: bool):
     @F.pandas_udf(_ROW)
-    def run(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, given: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, own in zip(texts, found):
-            if text is None or own is None:
+        for text, own in zip(texts, given):
+            if text is None or own is None and not detect:
                 rows.append((None, None, None))
                 continue
-            used, key, out = document.process(text, [(s["start"], s["end"], s["type"], s["score"], s["label"]) for s in own], excluded, disabled, remainders)
+            found = recognizers.found(text) if detect else []
+            found += [(s["start"], s["end"], s["type"], s["score"], s["label"]) for s in own] if own is not None else []
+            if not found:
+                rows.append((None, None, None))
+                continue
+            used, key, out = document.process(text, found, excluded, disabled, remainders)
             rows.append(([dict(zip(("start", "end", "type", "score", "label"), s)) for s in used], [dict(zip(("placeholder", "original", "type"), k)) for k in key], out))
         return pd.DataFrame(rows, columns=["spans", "key", "anonymized"])
 
     return run
 
 
-def mask(df: DataFrame, found: str, text: str = "text", excluded: Sequence[str] = (), disabled: Sequence[str] = (), remainders: bool = False) -> DataFrame:
-    """Adds spans, key and anonymized from the spans in column ``found``; Python sees only rows that have some."""
-    some = F.size(found) > 0
-    df = df.withColumn("_row", _processed(tuple(excluded), tuple(disabled), remainders)(F.when(some, F.col(text)), F.when(some, F.col(found))))
+def mask(df: DataFrame, given: Column | None, text: str = "text", excluded: Sequence[str] = (), disabled: Sequence[str] = (), remainders: bool = False, detect: bool = False) -> DataFrame:
+    """Adds spans, key and anonymized from the spans ``given`` and, with ``detect``, those of all rules; Python sees only rows that may have some."""
+    own = given if given is not None else F.lit(None).cast(T.SPANS)
+    some = F.coalesce(F.size(own) > 0, F.lit(False))
+    some = some | F.col(text).rlike(recognizers.CANDIDATE) | F.col(text).rlike(T.UNUSUAL) if detect else some
+    df = df.withColumn("_row", _processed(tuple(excluded), tuple(disabled), remainders, detect)(F.when(some, F.col(text)), F.when(some, own)))
     df = df.withColumns({"spans": F.coalesce("_row.spans", T.no_spans()), "key": F.coalesce("_row.key", F.expr(f"cast(array() as {KEY})")), "anonymized": F.coalesce("_row.anonymized", F.col(text))})
     return df.drop("_row")
 
 
+@F.pandas_udf(T.SPANS_TYPE)
+def _found(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else [dict(zip(("start", "end", "type", "score", "label"), s)) for s in recognizers.found(t)])
+
+
 def with_found(df: DataFrame, text: str, out: str = "_found") -> DataFrame:
     """Adds all spans of all rules, found on the text's shadow."""
+    some = F.col(text).rlike(recognizers.CANDIDATE) | F.col(text).rlike(T.UNUSUAL)
+    return df.withColumn(out, F.coalesce(_found(F.when(some, F.col(text))), T.no_spans()))
+
+
+def with_found_native(df: DataFrame, text: str, out: str = "_found") -> DataFrame:
+    """The same as expressions (but for the organisation walk); long to plan, and characters whose canonical form is longer aren't folded."""
     df = df.withColumn("_shadow", T.shadow(F.col(text)))
     df = df.withColumn("_seen", F.concat(recognizers.native(F.col("_shadow")), recognizers.organisations(F.col("_shadow"))))
     return df.withColumn(out, T.from_shadow(F.col(text), F.col("_seen"))).drop("_shadow", "_seen")
@@ -50,18 +68,17 @@ def with_found(df: DataFrame, text: str, out: str = "_found") -> DataFrame:
 
 def anonymize_deterministic(df: DataFrame, text: str = "text") -> DataFrame:
     """Detect, resolve, complete, resolve, mask."""
-    return mask(with_found(df, text), "_found", text).drop("_found")
+    return mask(df, None, text, detect=True)
 
 
 def anonymize_with(df: DataFrame, extra: Column | None = None, excluded: Sequence[str] = (), disabled: Sequence[str] = (), terms: Sequence[tuple[str, str | None]] = (), text: str = "text") -> DataFrame:
     """As above with the caller's spans and terms, remainders kept, and the filter before resolving, after it and after completion."""
     more = [*([extra] if extra is not None else []), *([recognizers.manual(F.col(text), list(terms))] if terms else [])]
-    df = with_found(df, text).withColumn("_own", F.concat("_found", *more) if more else F.col("_found"))
-    return mask(df, "_own", text, excluded, disabled, True).drop("_found", "_own")
+    return mask(df, F.concat(*more) if more else None, text, excluded, disabled, True, True)
 
 
 def anonymize_manual(df: DataFrame, terms: Sequence[tuple[str, str | None]], text: str = "text") -> DataFrame:
-    return mask(df.withColumn("_found", recognizers.manual(F.col(text), list(terms))), "_found", text).drop("_found")
+    return mask(df, recognizers.manual(F.col(text), list(terms)), text)
 
 
 def restored(text: Column, key: Column) -> tuple[Column, Column]:

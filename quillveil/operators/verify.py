@@ -28,19 +28,24 @@ def leaks(body: Column, needles: Column) -> Column:
 
 
 def leak_spans(text: Column, key: Column) -> Column:
-    """Spans of a key's values in any format of theirs: digit runs by their digits, others as whole words."""
+    """Spans of a key's values in any format of theirs: numbers as runs of the same leak form, others as whole words."""
     runs = T.spans_of(text, RUN, "IL_NUMBER")
-    numeric = F.filter(key, lambda k: T.leak_form(k["original"]).rlike("^[0-9.()]+$"))
-    numbers = F.flatten(F.transform(numeric, lambda k: F.transform(F.filter(runs, lambda s: T.digits(T.surface(text, s)) == T.digits(k["original"])), lambda s: T.span(s["start"], s["end"], k["type"], 1.0))))
-    trimmed = F.transform(F.filter(key, lambda k: ~T.leak_form(k["original"]).rlike("^[0-9]+$")), lambda k: F.struct(F.regexp_replace(k["original"], f"^[{T.WS}]+|[{T.WS}]+$", "").alias("original"), k["type"].alias("type")))
+    is_number = lambda k: T.leak_form(k["original"]).rlike("^[0-9]+$")
+    numbers = F.flatten(F.transform(F.filter(key, is_number), lambda k: F.transform(F.filter(runs, lambda s: T.leak_form(T.surface(text, s)) == T.leak_form(k["original"])), lambda s: T.span(s["start"], s["end"], k["type"], 1.0))))
+    trimmed = F.transform(F.filter(key, lambda k: ~is_number(k)), lambda k: F.struct(F.regexp_replace(k["original"], f"^[{T.WS}]+|[{T.WS}]+$", "").alias("original"), k["type"].alias("type")))
     words = F.flatten(F.transform(F.filter(trimmed, lambda k: F.length(k["original"]) > 0), lambda k: F.transform(T.word_starts(text, k["original"]), lambda at: T.span(at, at + F.length(k["original"]), k["type"], 1.0))))
     return F.array_distinct(F.concat(numbers, words))
 
 
+#: Shorter numbers are too often part of another to be believed where they aren't bounded.
+LEAST_DIGITS = 5
+
+
 def high_confidence(row: Column) -> Column:
-    """Whether a survivor of this key row counts without a second look: five digits or more, a structured type, or two words."""
-    number = row["original"].rlike("^[0-9]+$")
-    return F.when(number, F.length(row["original"]) >= 5).otherwise(E.structured(row["type"]) | (F.size(F.split(F.trim(row["original"]), f"[{T.WS}]+")) >= 2))
+    """Whether a survivor of this key row counts without a second look: a number (in leak form) of five digits or more, else a structured type or two words."""
+    number = T.leak_form(row["original"])
+    words = F.filter(F.split(T.strip_controls(row["original"]), f"[{T.WS}]+"), lambda w: w != "")
+    return F.when(number.rlike("^[0-9]+$"), F.length(number) >= LEAST_DIGITS).otherwise(E.structured(row["type"]) | (F.size(words) >= 2))
 
 
 def fidelity(kind: Column, original: Column) -> Column:

@@ -61,7 +61,7 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lpad(((F.col("c_custkey") * 7919 + 1000003) % 100000000).cast("string"), 8, "0").alias("stem"))
     p = p.withColumns({"cstem": F.concat(F.lit("5"), F.substring("stem", 1, 7)), "seven": F.lpad((F.col("k") % 10000000).cast("string"), 7, "0"), "bban": F.concat(F.lit("010800000"), F.lpad(F.col("k").cast("string"), 10, "0"))})
     check = F.lpad((98 - F.concat("bban", F.lit("182100")).cast("decimal(38,0)") % 97).cast("int").cast("string"), 2, "0")
-    return p.select("k", "seven", F.concat("stem", _check_digit(F.col("stem"))).alias("id"), F.concat("cstem", _check_digit(F.col("cstem"))).alias("company"), F.concat(F.lit("05"), (F.col("k") % 10).cast("string"), F.lit("-"), "seven").alias("phone"), F.concat(F.lit("IL"), check, "bban").alias("iban")).repartition("k")  # texts built from these are then worked out once
+    return p.select("k", "seven", F.concat("stem", _check_digit(F.col("stem"))).alias("id"), F.concat("cstem", _check_digit(F.col("cstem"))).alias("company"), F.concat(F.lit("05"), (F.col("k") % 10).cast("string"), F.lit("-"), "seven").alias("phone"), F.concat(F.lit("IL"), check, "bban").alias("iban")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")  # texts built from these are then worked out once, on all cores
 
 
 #: Texts planted for each key: name, prefix, value (a column of planted, or SQL for both engines), suffix, type found (None: nothing).
@@ -120,7 +120,7 @@ def planted_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "anonymized", F.size("key").cast("long").alias("n_keys"), (masking.restored(F.col("anonymized"), F.col("key"))[0] == F.col("text")).alias("same"))
 
 
-@query(PLANTED_SQL + "SELECT k, 'phone_off' AS option, 'ת\"ז [ID_1] טל ' || phone AS anonymized FROM p UNION ALL SELECT k, 'id_revealed', 'ת\"ז ' || id || ' טל [PHONE_1]' FROM p WHERE substr(id, 1, 1) NOT IN ('0', '5') UNION ALL SELECT k, 'with_term', '[CLIENT_1] טל [PHONE_1]' FROM p")
+@query(PLANTED_SQL + "SELECT k, 'phone_off' AS option, 'ת\"ז [ID_1] טל ' || phone AS anonymized FROM p UNION ALL SELECT k, 'id_revealed', CASE WHEN substr(id, 1, 1) = '5' THEN 'ת\"ז [COMPANY_1] טל [PHONE_1]' WHEN substr(id, 1, 2) IN ('02', '03', '04', '08', '09') THEN 'ת\"ז [PHONE_1] טל [PHONE_2]' ELSE 'ת\"ז ' || id || ' טל [PHONE_1]' END FROM p UNION ALL SELECT k, 'with_term', '[CLIENT_1] טל [PHONE_1]' FROM p")
 def planted_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A type switched off, and the user's own term with its label, which beats an id inside it; a surface excluded by a join."""
     p = planted(spark, sf_dir).select("k", "id", F.concat(F.lit('ת"ז '), "id", F.lit(" טל "), "phone").alias("text"))
@@ -270,7 +270,7 @@ def key_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("k", F.col("csv")[0]["original"].alias("original"), F.col("csv")[0]["type"].alias("csv_type"), F.col("json")[0]["original"].alias("json_original"), F.col("json")[0]["type"].alias("json_type"), "bad_version")
 
 
-@query("SELECT c_custkey AS k, c_name AS plain, 'ok' AS status, 'WRONG_PASSPHRASE' AS wrong, 'INVALID_KEY_FILE' AS invalid FROM customer WHERE c_custkey % 50 = 0")
+@query("SELECT c_custkey AS k, c_name AS plain, 'ok' AS status, 'WRONG_PASSPHRASE' AS wrong, 'INVALID_KEY_FILE' AS invalid FROM customer")
 def key_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encrypted keys: the right passphrase, a wrong one, and a broken envelope."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")

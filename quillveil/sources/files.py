@@ -125,13 +125,13 @@ def token_docx(text: str) -> bytes:
 
 
 def chunks(text: str | None, most: int = 400) -> list[dict]:
-    """Contiguous pieces of at most ``most`` characters, cut after a line end or space in their later half if there is one."""
+    """Contiguous pieces of at most ``most`` characters, cut after the last line end or space that lies beyond their middle, if there is one."""
     out, at, text = [], 0, text or ""
     while at < len(text):
         end = min(len(text), at + most)
         if end < len(text):
             cut = max(text.rfind("\n", at, end), text.rfind(" ", at, end))
-            end = cut + 1 if cut >= at + most // 2 else end
+            end = cut + 1 if cut - at > most * 0.5 else end
         out.append({"text": text[at:end], "offset": at})
         at = end
     return out
