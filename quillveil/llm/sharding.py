@@ -1,12 +1,15 @@
 """Resharding by minimum-cost flow: from old shard sizes to new capacities with the fewest bytes moved.
 
-Law ``bytes``: shard sizes come out near equal. Documents that weigh over a sixteenth of a new shard (16 times the number of
-shards at most) are placed one by one, longest first, and stay where they are if they can. All others are a flow from old
-shards to new capacities, of which a byte costs 1 when it moves and 0 when it stays; each arc of the flow becomes one run of
-documents of its old shard. Places along an old shard and slots in a new one are counted in buckets, so no shard needs one task.
-
-Defined results: a null text has no bytes; rows that repeat a doc_id are placed each; null doc_ids are placed like others; an
-empty table gives no rows; other columns are not looked at.
+Law ``bytes``: shard sizes come out near equal. What moves is a unit: all rows of one text, which lie in the old shard that holds
+most of their bytes, and go to one new shard together. Only a text whose rows together exceed a sixteenth of a new shard is split
+into its rows, as no law of near-equal sizes could hold otherwise; single documents above that (16 times the number of shards at
+most) are placed one by one, longest first, and stay where they are if they can. All other units are a flow from old shards to
+new capacities, of which a byte costs 1 when it moves and 0 when it stays; each arc of the flow becomes one run of units of its
+old shard. The flow moves the fewest bytes for the capacities that the heavy documents leave; these are placed greedily. Places
+along an old shard and slots in a new one are counted in buckets, so no shard needs one task.
+
+Defined results: a null text has no bytes and is one with the empty text; rows that repeat a doc_id are placed each; null doc_ids
+are placed like others; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -98,40 +101,61 @@ def crc_of(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def mark_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+#: What tells texts apart: 64 bits of hash, 32 of checksum, and the length.
+TEXT = ("text_mark", "text_crc32", "size")
+
+
 def reshard(docs: DataFrame, old_shard: Column, *, shards: int = SHARDS, old_shards: int = OLD_SHARDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's place: doc_id, size, text_crc32, old_shard, shard, slot [, carried columns]. ``old_shard``: 0 to old_shards - 1."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size_of(text).alias("size"), crc_of(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), *carry)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size_of(text).alias("size"), crc_of(text).alias("text_crc32"), mark_of(text).alias("text_mark"), old_shard.cast("int").alias("old_shard"), *carry)
     buckets = 4 * store.partitions(spark)
-    rows = store.written(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int")), "sizes")
-    mean = (rows.agg(F.sum("size")).first()[0] or 0) / shards
-    is_heavy = F.col("size") > mean / HEAVY
-    heavy = rows.where(is_heavy).select("doc_id", "size", "text_crc32", "old_shard").distinct().orderBy("size", "doc_id", "text_crc32").collect()  # under shards * HEAVY rows
-    sizes = {r["old_shard"]: r["s"] for r in rows.where(~is_heavy).groupBy("old_shard").agg(F.sum("size").alias("s")).collect()}  # old_shards rows
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_mark"), F.lit(buckets)).cast("int"))
+    rows = store.written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")  # the write fixes the numbers
+    limit = (rows.agg(F.sum("size")).first()[0] or 0) / shards / HEAVY
+    whole = rows.groupBy(*TEXT, "old_shard").agg(F.sum("size").alias("part"), F.min("row").alias("row")).groupBy(*TEXT)
+    whole = whole.agg(F.sum("part").alias("bytes"), F.max(F.struct("part", (-F.col("old_shard")).alias("minus"))).alias("home"), F.min("row").alias("unit"))
+    whole = store.written(whole.select(*TEXT, "bytes", (-F.col("home.minus")).alias("home"), "unit"), "texts")
+    split = F.broadcast(whole.where(F.col("bytes") > limit).select(*TEXT))  # shards * HEAVY rows at most
+    alone = store.written(rows.join(split, list(TEXT), "left_semi"), "alone")
+    heavy = alone.where(F.col("size") > limit).select("row", "size", "old_shard").orderBy("size", "doc_id", "text_mark", "old_shard").collect()  # under shards * HEAVY rows
+
+    bucket = F.pmod(F.col("text_mark"), F.lit(buckets)).cast("int").alias("bucket")
+    units = whole.where(F.col("bytes") <= limit).select("home", "bytes", "unit", *TEXT, F.lit(None).cast("long").alias("doc_id"), bucket)
+    units = units.unionByName(alone.where(F.col("size") <= limit).select(F.col("old_shard").alias("home"), F.col("size").alias("bytes"), F.col("row").alias("unit"), *TEXT, "doc_id", "bucket"))
+    sizes = {r["home"]: r["s"] for r in units.groupBy("home").agg(F.sum("bytes").alias("s")).collect()}  # old_shards rows
     placed, flow = transfers([sizes.get(i, 0) for i in range(old_shards)], [(r["old_shard"], r["size"]) for r in heavy], shards)
     runs, at = [], dict.fromkeys(range(old_shards), 0)
     for (i, j), amount in sorted(flow.items(), key=lambda x: (x[0][0], x[0][0] != x[0][1], x[0][1])):
         runs.append((i, at[i], at[i] + amount, j))
         at[i] += amount
-    runs = spark.createDataFrame(runs, "old_shard int, low long, high long, shard int")  # old_shards + shards rows at most
-    singles = spark.createDataFrame([(r["doc_id"], r["text_crc32"], r["size"], j) for r, j in zip(heavy, placed)], "h_id long, h_crc long, h_size long, shard int")
-
-    before = Window.partitionBy("old_shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    light = rows.where(~is_heavy)
-    bases = light.groupBy("old_shard", "bucket").agg(F.sum("size").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
-    inside = Window.partitionBy("old_shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
-    light = light.withColumn("upto", F.sum("size").over(inside)).join(bases, ["old_shard", "bucket"])
-    light = light.withColumn("middle", F.col("base") + F.col("upto") - F.expr("size div 2 + 1"))
-    runs = F.broadcast(runs.withColumnRenamed("old_shard", "from_shard"))
-    light = light.join(runs, (F.col("old_shard") == F.col("from_shard")) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high")))
-    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_crc32") == F.col("h_crc")) & (F.col("size") == F.col("h_size"))
+    runs = spark.createDataFrame(runs, "from_shard int, low long, high long, shard int")  # old_shards + shards rows at most
+    singles = spark.createDataFrame([(r["row"], j) for r, j in zip(heavy, placed)], "unit long, shard int")
+
+    before = Window.partitionBy("home").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = units.groupBy("home", "bucket").agg(F.sum("bytes").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    inside = Window.partitionBy("home", "bucket").orderBy("text_mark", "text_crc32", "size", "doc_id", "unit").rowsBetween(Window.unboundedPreceding, 0)
+    light = units.withColumn("upto", F.sum("bytes").over(inside)).join(bases, ["home", "bucket"])
+    light = light.withColumn("middle", F.col("base") + F.col("upto") - F.expr("bytes div 2 + 1"))
+    light = light.join(F.broadcast(runs), (F.col("home") == F.col("from_shard")) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high")))
+    to = store.written(light.select("unit", *TEXT, "shard"), "units")
+
+    # rows of a unit follow it by text, rows of split texts by number
     names = [*rows.columns, "shard"]
-    out = light.select(*names).unionByName(rows.where(is_heavy).join(F.broadcast(singles), same).select(*names))
+    grouped = rows.join(split, list(TEXT), "left_anti")
+    known = to.join(split, list(TEXT), "left_anti").select(*TEXT, "shard")
+    out = grouped.join(store.small(known, whole.count(), 24), list(TEXT)).select(*names)
+    own = to.select(F.col("unit").alias("row"), "shard").unionByName(singles.select(F.col("unit").alias("row"), "shard"))
+    out = out.unionByName(alone.join(own, "row").select(*names))
     out = store.written(out, "shards")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = out.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    slot = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
+    slot = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "row")) - 1
     out = out.withColumn("slot", slot).join(bases, ["shard", "bucket"]).withColumn("slot", F.col("slot") + F.col("base"))
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot"), *carry)
 
