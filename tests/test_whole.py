@@ -1,14 +1,7 @@
 """Queries do their job on all rows, with the operators' own settings."""
 
-import math
-import random
-import zlib
-from collections import Counter
-
-import pytest
 from pyspark.sql import functions as F
 
-from quillveil.llm import lm, queries, sharding, tagpaths
 from quillveil.operators import keys, masking, verify
 from quillveil.plans import catalog
 
@@ -25,28 +18,6 @@ def test_key_encryption_takes_every_customer_and_the_full_derivation(spark, monk
     assert rounds == [600_000]
 
 
-@pytest.mark.parametrize("head_share", [lm.HEAD_SHARE, 12])
-def test_language_model_scores_with_each_words_own_count(spark, monkeypatch, head_share):
-    rng = random.Random(8)
-    lexicon = [f"w{k}" for k in range(100)]
-    texts = {d: " ".join(rng.choice(lexicon[: 3 + rng.randint(0, 97)]) for _ in range(rng.randint(0, 20))) for d in range(80)}  # few pairs a shard: a byte holds each log
-    texts |= {1000: "w1 new w1 other new", 1001: None, 1002: "w7 " * 50}
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(lm, "HEAD_SHARE", head_share)
-    got = {r.doc_id: r.score for r in lm.scored(rows).collect()}
-    toks = {d: ["<s>", *(t or "").split(), "</s>"] for d, t in texts.items()}
-    train = [d for d in toks if zlib.crc32(str(d).encode()) % 7 != 2]
-    one = Counter(w for d in train for w in toks[d][1:])
-    two = Counter(p for d in train for p in zip(toks[d], toks[d][1:]))
-    first = Counter(v for d in train for v in toks[d][:-1])
-    n = sum(one.values())
-    low = {w: (one[w] + 1) / (n + len(one) + 1) for ws in toks.values() for w in ws}
-    assert any(one[w] * 12 < n for w in one) and any(one[w] * 12 < n and one[w] > 5 for w in one) and len(train) < len(toks)
-    for d, ws in toks.items():
-        want = sum(math.log10((two[v, w] + lm.MU * low[w]) / (first[v] + lm.MU)) for v, w in zip(ws, ws[1:]))
-        assert abs(got[d] - want) < 1e-4 * len(ws), (d, got[d], want)
-
-
 def test_leak_spans_find_words_and_numbers(spark):
     text = "כהן פגש את מכהן, mail dana@example.com (a@dana@example.com) a a a +972-52-1234567; 05-2-1 גלים בע\"מ \\Q.\\E 12.07.1981"
     key = [("כהן", "PERSON"), (" dana@example.com ", "EMAIL_ADDRESS"), ("a a", "MANUAL"), ("+972-52-1234567", "IL_PHONE"), ("0521", "IL_BAR"), ("גלים בע\"מ", "ORGANIZATION"), ("\\Q.\\E", "MANUAL"), ("12.07.1981", "DATE_OF_BIRTH"), ("", "MANUAL"), (" ", "MANUAL"), (None, "MANUAL"), ("absent", "MANUAL")]
@@ -71,35 +42,3 @@ def test_planted_filters_reveal_every_customers_id(spark, monkeypatch):
 
     assert {r.id[:2] for r in rows.values()} >= {f"0{d}" for d in range(1, 10)} | {"50", "59"}
     assert got == {k: want(r) for k, r in rows.items()}
-
-
-@pytest.mark.parametrize("tag", ["<svg/>", "<svg class='a' />", '<math alt="x"/>', "<SVG a=b />", "<svg class=a/>x</svg>", "<svg><p>no</p></svg>"])
-def test_text_after_a_self_closed_drawing_stays(tag):
-    page = f"<body><article><p>One, first.</p>{tag}<p>Two, then.</p><p>Three<svg><path/></svg>, last.</p></article></body>"
-    assert tagpaths.main_text(page) == "One, first.\nTwo, then.\nThree, last."
-
-
-@pytest.mark.parametrize("repeats", [False, True])
-def test_shards_are_written_and_read_back(spark, tmp_path, repeats):
-    rows = [(k, "é" * (k % 37) + str(k), k % 4) for k in range(200)] + [(None, "none", 3), (900, None, 1)]
-    rows += [(7, rows[7][1], 3), (7, "other", 3), (None, "none", 3), (None, "none", 3)] if repeats else []
-    docs = spark.createDataFrame(rows, "doc_id long, text string, home int").repartition(3)
-    out = f"file://{tmp_path}/s"
-    got = sharding.resharded(docs, F.col("home"), out, shards=3, old_shards=4).collect()
-    want = sorted((str(d), len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), h) for d, t, h in rows)
-    assert sorted((str(r.doc_id), r["size"], r.text_crc32, r.old_shard) for r in got) == want
-    for s in range(3):
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    files = spark.read.schema(sharding.WRITTEN).parquet(out).collect()
-    assert Counter((r.doc_id, r.text, r.old_shard) for r in files) == Counter(rows)
-    assert spark.read.parquet(f"{out}/shard=3").count() == 0  # all its rows have left
-
-
-def test_registered_resharding_writes_its_shards(spark, monkeypatch):
-    outs, rewrite = [], sharding.rewrite
-    monkeypatch.setattr(sharding, "rewrite", lambda docs, old, placed, out: (outs.append(out), rewrite(docs, old, placed, out))[1])
-    got = queries.op9_flow_reshard(spark, SF).collect()
-    texts = {r.doc_id: r.text for r in queries.documents(spark, SF).collect()}
-    files = spark.read.schema(sharding.WRITTEN).parquet(outs[0]).collect()
-    assert {r.doc_id: r.text for r in files} == texts and len(got) == len(files) == len(texts)
-    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in files}
