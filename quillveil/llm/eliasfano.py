@@ -68,14 +68,16 @@ class EliasFano:
             bits = np.where(skip, bits >> _U(step), bits)
         return 64 * word + at
 
-    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each value's successor, and whether it is the value itself."""
+    def find(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each value's successor, and whether it is the value itself; looked for among entries ``first`` to ``last`` - 1 if these are given."""
         if not self.n or not len(values):
             return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
         top = (values >> _U(self.low_bits)).astype(np.int64)
         low = values & _U((1 << self.low_bits) - 1)
         a = np.where(top > 0, self._zero(np.maximum(top, 1) - 1) - top + 1, 0)
         b = self._zero(top) - top
+        if first is not None:
+            a, b = np.maximum(a, first), np.minimum(b, last)
         end = b.copy()
         while True:
             todo = np.flatnonzero(a < b)
@@ -116,7 +118,7 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Contexts (64-bit), and under each its successors (32-bit) with a quantised log probability.
+    """Contexts (64-bit), and under each its successors (64-bit) with a quantised log probability.
 
     Level 1: contexts. Vocabulary: all successors. Pointers: where each context's successors begin (shifted by the context's
     number, so that they are distinct). Level 2: a successor's number in the vocabulary plus the context's number times the
@@ -151,7 +153,7 @@ class Trie:
         codes, levels = quantised(logs)
         parts = [
             EliasFano.packed(contexts, 1 << 64),
-            EliasFano.packed(vocabulary, 1 << 32),
+            EliasFano.packed(vocabulary, 1 << 64),
             EliasFano.packed(starts, len(words) + len(contexts) + 1),
             EliasFano.packed(owner.astype(_U) * _U(size) + number.astype(_U), max(1, len(contexts)) * size),
             np.concatenate([back_levels, levels]).astype("<f4").tobytes(),
@@ -160,18 +162,38 @@ class Trie:
         ]
         return cls.HEAD.pack(cls.MAGIC, 1, size) + b"".join(map(_padded, parts))
 
+    def ranges(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pairs of these contexts (by number) begin and end in level 2: two neighbouring pointers each."""
+        if not self.pointers.n:
+            return np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        after = np.minimum(which + 1, self.pointers.n - 1)
+        first, last = self.pointers.at(which).astype(np.int64) - which, self.pointers.at(after).astype(np.int64) - after
+        return first, np.where(which + 1 < self.pointers.n, last, self.pairs.n)
+
     def successors(self, context: int) -> tuple[int, int]:
         """Range of a context's pairs in level 2."""
-        ends = self.pointers.at(np.array([context, context + 1])) if context + 1 < self.pointers.n else np.append(self.pointers.at(np.array([context])), self.pairs.n + self.pointers.n)
-        return int(ends[0]) - context, int(ends[1]) - min(context + 1, self.pointers.n)
+        first, last = self.ranges(np.array([context]))
+        return int(first[0]), int(last[0])
 
-    def score(self, contexts: np.ndarray, words: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Log probability of each word after each context; ``lower``: log probability of the word alone."""
+    def score_pairs(self, contexts: np.ndarray, owner: np.ndarray, words: np.ndarray, number: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Log probability of word ``words[number[i]]`` after ``contexts[owner[i]]`` (both distinct); ``lower``: of the word alone.
+
+        Each context and word is looked up once; a pair is then searched for in the pointer range of its context.
+        """
         which, known = self.contexts.find(contexts.astype(_U))
-        number, word_known = self.words.find(words.astype(_U))
-        out = lower.astype(np.float64).copy()
-        out[known] += self.levels[0][self.back[which[known]]]
-        both = np.flatnonzero(known & word_known)
-        at, seen = self.pairs.find(which[both].astype(_U) * _U(self.size) + number[both].astype(_U))
-        out[both[seen]] = self.levels[1][self.codes[at[seen]]]
+        first, last = self.ranges(np.where(known, which, 0))
+        at, word_known = self.words.find(words.astype(_U))
+        back = np.zeros(len(contexts))
+        back[known] = self.levels[0][self.back[which[known]]]
+        out = lower + back[owner]
+        both = np.flatnonzero(known[owner] & word_known[number])
+        own = owner[both]
+        place, seen = self.pairs.find(which[own].astype(_U) * _U(self.size) + at[number[both]].astype(_U), first[own], last[own])
+        out[both[seen]] = self.levels[1][self.codes[place[seen]]]
         return out
+
+    def score(self, contexts: np.ndarray, words: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Log probability of each word after each context; ``lower``: log probability of the word alone."""
+        distinct, owner = np.unique(contexts.astype(_U), return_inverse=True)
+        vocabulary, number = np.unique(words.astype(_U), return_inverse=True)
+        return self.score_pairs(distinct, owner, vocabulary, number, lower.astype(np.float64))

@@ -6,12 +6,16 @@
    is sent the counts that it needs.
 3. A third pass turns each block of texts into its distinct bigrams with the documents they occur in, and deals them to shards
    by context; contexts above a shard's share are dealt by successor too. A shard adds up its counts, builds its trie, scores
-   its bigrams by successor search, and sends each block a sum for each of its documents.
+   its bigrams in the pointer ranges of their contexts, and sends each block a sum for each of its documents that it knows of.
 4. The sums of a block's documents meet again by block.
 
+With a folder ``out`` the model stays there: the counts of the words, and a row for each shard with its trie, not compressed, as it
+lies in memory. ``rescored`` scores other texts with it.
+
 Model: P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1) of each word's own count, 0 for words
 that training lacks; the trie's logarithms are quantised to a byte.
-Nothing is pruned. Memory is bounded by the size of a block and of a shard; the number of shards follows the tokens.
+Nothing is pruned. Memory is bounded by the size of a block and of a shard; the number of shards follows the tokens. What is sent is
+at most one row for each block and shard, and an entry for each distinct bigram of a block.
 
 Defined results: null and empty texts are the end token alone; the training rows are chosen by crc32 of the doc_id as text (a
 null one as an empty text); rows that repeat a doc_id are scored each; without training text every score is the base score; an
@@ -137,7 +141,9 @@ def _unpacked(raw: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
 ROW = "shard int, own boolean, block string, payload binary"
 ROW_ARROW = pa.schema([("shard", pa.int32()), ("own", pa.bool_()), ("block", pa.string()), ("payload", pa.binary())])
 OWN = ("<i8", "u1", "u1", "<i8", "<f8", "<i8")
-SUMS = ("<f8", "<f8", "<i8")
+SUMS = ("<u2", "<f8", "<f8", "<i8")
+#: Names of the rows of a shard's model.
+TRIE, TOTALS = "trie", "totals"
 COUNTS = ("<u8", "<u8")
 ASK = "part int, own boolean, payload binary"
 ASK_ARROW = pa.schema([("part", pa.int32()), ("own", pa.bool_()), ("payload", pa.binary())])
@@ -295,53 +301,66 @@ def model(contexts: np.ndarray, counts: np.ndarray, owner: np.ndarray, words: np
     return Trie.packed(contexts, np.log10(MU / (counts + MU)), owner, words, np.log10((times + MU * 10.0**low) / total))
 
 
-def _shard(lower: Lower):
+def _shard(lower: Lower, keep: bool = False):
+    """Scores the bigrams of a shard, with the trie that came with them or else with one built of them; with ``keep`` it goes out too."""
+
     def run(table: pa.Table) -> pa.Table:
-        names, rows, parts, docs, counted = [], [], [], [], [[np.empty(0, _U), np.empty(0, _U)]]
-        for own, name, payload in zip(*(table.column(c).to_pylist() for c in ("own", "block", "payload"))):
-            if own:
-                rows.append((0, True, name, payload))
+        names, rows, parts, counted, model_rows = [], [], [], [[np.empty(0, _U), np.empty(0, _U)]], {}
+        for own, name, payload in zip(*(table.column(c) for c in ("own", "block", "payload"))):
+            own, name = own.as_py(), name.as_py()
+            if own is None:
+                model_rows[name] = payload.as_buffer()
+            elif own:
+                rows.append((0, True, name, payload.as_py()))
             elif name is None:
-                counted.append(_unpacked(payload, COUNTS))
+                counted.append(_unpacked(payload.as_py(), COUNTS))
             else:
                 names.append(name)
-                parts.append(_unpacked(payload, KINDS))
-                docs.append(int(parts[-1][5].max()) + 1)
+                parts.append(_unpacked(payload.as_py(), KINDS))
         if names:
             of_block = np.repeat(np.arange(len(parts)), [len(p[5]) for p in parts])
             v, runs, w, trained, sizes, doc, times = (np.concatenate(x) for x in zip(*parts))
             contexts, which = np.unique(v, return_inverse=True)
             owner = np.repeat(which, runs)
-            # the shard's distinct successors are numbered; in the trie the numbers are spread over its 32 bits
             words, number = np.unique(w, return_inverse=True)
             tail, tail_counts = map(np.concatenate, zip(*counted))
             order = np.argsort(tail)
             word_logs = lower.logs(words, tail[order], tail_counts[order])
             pairs, pair = np.unique(owner.astype(_U) << _U(32) | number.astype(_U), return_inverse=True)
-            count = np.bincount(pair, trained, len(pairs))
-            own, word = (pairs >> _U(32)).astype(np.int64), pairs & _U(0xFFFFFFFF)
-            lows = word_logs[word.astype(np.int64)]
-            word = word * _U((1 << 32) // len(words))
+            own, word = (pairs >> _U(32)).astype(np.int64), (pairs & _U(0xFFFFFFFF)).astype(np.int64)
+            lows = word_logs[word]
             at, head = lower.find(contexts)
-            total = np.bincount(own, count, len(contexts))
-            total[head] = lower.counts[at[head]]
-            total[contexts == _U(BEGIN)] = lower.docs
-            seen = np.flatnonzero(total > 0)
-            back = np.full(len(contexts), -1)
-            back[seen] = np.arange(len(seen))
-            use = np.flatnonzero(count > 0)
-            trie = Trie(model(contexts[seen], total[seen], back[own[use]], word[use], count[use], lows[use]))
-            logs = trie.score(contexts[own], word, lows)
+            if model_rows:
+                trie = Trie(model_rows[TRIE])
+                known, totals = _unpacked(model_rows[TOTALS].to_pybytes(), COUNTS)
+                place = np.minimum(np.searchsorted(known, contexts), len(known) - 1)
+                total = np.where(known[place] == contexts, totals[place], 0).astype(np.float64)
+            else:
+                count = np.bincount(pair, trained, len(pairs))
+                total = np.bincount(own, count, len(contexts))
+                total[head] = lower.counts[at[head]]
+                total[contexts == _U(BEGIN)] = lower.docs
+                seen = np.flatnonzero(total > 0)
+                back = np.full(len(contexts), -1)
+                back[seen] = np.arange(len(seen))
+                use = np.flatnonzero(count > 0)
+                raw = model(contexts[seen], total[seen], back[own[use]], words[word[use]], count[use], lows[use])
+                trie = Trie(raw)
+                if keep and len(seen):
+                    shard = table.column("shard")[0].as_py()
+                    rows += [(shard, None, TRIE, raw), (shard, None, TOTALS, _packed([contexts[seen], total[seen]], COUNTS))]
+            logs = trie.score_pairs(contexts, own, words, word, lows)
             base = np.where(head | (contexts == _U(BEGIN)), 0, np.log10(total + 1))
             known = (base > 0).astype(np.int64)
             entry = np.repeat(np.arange(len(pair)), sizes)
-            starts = np.concatenate([[0], np.cumsum(docs)])
-            place = starts[of_block] + doc
+            docs, place = np.unique(of_block.astype(np.int64) << 16 | doc, return_inverse=True)  # those that have entries here
             of = owner[entry]
-            sums = [np.bincount(place, logs[pair[entry]] * times, starts[-1]), np.bincount(place, base[of] * times, starts[-1]), np.bincount(place, known[of] * times, starts[-1])]
+            sums = [np.bincount(place, x, len(docs)) for x in (logs[pair[entry]] * times, base[of] * times, known[of] * times)]
+            ends = np.searchsorted(docs, np.arange(len(names) + 1) << 16)
             for k, name in enumerate(names):
-                rows.append((0, False, name, _packed([s[starts[k] : starts[k + 1]] for s in sums], SUMS)))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), ROW_ARROW.types)], schema=ROW_ARROW)
+                e = slice(ends[k], ends[k + 1])
+                rows.append((0, False, name, _packed([docs[e] & 0xFFFF, *(x[e] for x in sums)], SUMS)))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), ROW_ARROW.types)] if rows else [pa.array([], t) for t in ROW_ARROW.types], schema=ROW_ARROW)
 
     return run
 
@@ -356,10 +375,10 @@ def _together(lower: Lower):
         score, base, known = np.zeros(len(ids)), base.copy(), known.copy()
         for o, p in zip(table.column("own").to_pylist(), table.column("payload").to_pylist()):
             if not o:
-                s, b, k = _unpacked(p, SUMS)
-                score[: len(s)] += s
-                base[: len(b)] += b
-                known[: len(k)] += k
+                at, s, b, k = _unpacked(p, SUMS)
+                score[at] += s
+                base[at] += b
+                known[at] += k
         base -= n * math.log10(lower.total)
         columns = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(ids), lower.n)), pa.array(base), pa.array(score if lower.n else base)]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -367,16 +386,43 @@ def _together(lower: Lower):
     return run
 
 
-def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = store.written(rows.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "unigrams")
-    n, v, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == int(np.array([END], _U).view(np.int64)[0]), F.col("c"))), F.lit(0))).first()
-    is_head = F.col("c") * HEAD_SHARE >= n
-    heads = words.where(is_head).toPandas()  # HEAD_SHARE rows at most
-    shards = max(8, math.ceil(n * 7 / 6 / SHARD_TOKENS))
-    lower = Lower(heads["h"].to_numpy(np.int64).view(_U), heads["c"].to_numpy(np.int64), n, v, ends, shards)
-    asked = words.where(~is_head).mapInArrow(_counted(shards), ASK).unionByName(rows.mapInArrow(_requests(lower), ASK))
+def _lower(words: DataFrame, n: int, v: int, ends: int) -> Lower:
+    """The lower-order model of a table of counts."""
+    heads = words.where(F.col("c") * HEAD_SHARE >= n).toPandas()  # HEAD_SHARE rows at most
+    return Lower(heads["h"].to_numpy(np.int64).view(_U), heads["c"].to_numpy(np.int64), n, v, ends, max(8, math.ceil(n * 7 / 6 / SHARD_TOKENS)))
+
+
+def _dealt(rows: DataFrame, words: DataFrame, lower: Lower) -> DataFrame:
+    """The bigrams of the texts and the counts that their scores need, by shard."""
+    asked = words.where(F.col("c") * HEAD_SHARE < lower.n).mapInArrow(_counted(lower.shards), ASK).unionByName(rows.mapInArrow(_requests(lower), ASK))
     counts = asked.groupBy("part").applyInArrow(_answers, ROW)
-    dealt = rows.mapInArrow(_blocks(lower), ROW).unionByName(counts).groupBy("shard").applyInArrow(_shard(lower), ROW)
+    return rows.mapInArrow(_blocks(lower), ROW).unionByName(counts)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", out: str | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. With ``out`` the model is written to that folder."""
+    rows = _texts(docs, id_col, text_col)
+    words = store.written(rows.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "unigrams", f"{out}/words" if out else None)
+    end = int(np.array([END], _U).view(np.int64)[0])
+    n, v, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("c"))), F.lit(0))).first()
+    lower = _lower(words, n, v, ends)
+    dealt = _dealt(rows, words, lower).groupBy("shard").applyInArrow(_shard(lower, out is not None), ROW)
+    if out:
+        docs.sparkSession.createDataFrame([(n, v, ends)], "n long, v long, ends long").write.parquet(f"{out}/totals")
+        dealt.write.option("compression", "none").parquet(f"{out}/shards")
+        dealt = docs.sparkSession.read.schema(ROW).parquet(f"{out}/shards").where("own is not null")
+    return dealt.groupBy("block").applyInArrow(_together(lower), SCORES)
+
+
+def rescored(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``scored``, with the model that ``scored`` has written to ``out``; nothing is learned from ``docs``."""
+    spark = docs.sparkSession
+    rows, words = _texts(docs, id_col, text_col), spark.read.schema("h long, c long").parquet(f"{out}/words")
+    lower = _lower(words, *spark.read.schema("n long, v long, ends long").parquet(f"{out}/totals").first())
+    tries = spark.read.schema(ROW).parquet(f"{out}/shards").where("own is null")
+    dealt = _dealt(rows, words, lower).unionByName(tries).groupBy("shard").applyInArrow(_shard(lower), ROW)
     return dealt.groupBy("block").applyInArrow(_together(lower), SCORES)

@@ -23,7 +23,7 @@ def op2_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scored(documents(spark, sf_dir))
+    return lm.scored(documents(spark, sf_dir), out=store.new_path(spark, "lm"))
 
 
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

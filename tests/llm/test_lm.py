@@ -11,14 +11,21 @@ from quillveil.llm import lm
 
 
 @pytest.mark.parametrize("head_share", [lm.HEAD_SHARE, 12])
-def test_language_model_scores_with_each_words_own_count(spark, monkeypatch, head_share):
+def test_language_model_scores_with_each_words_own_count(spark, monkeypatch, tmp_path, head_share):
     rng = random.Random(8)
     lexicon = [f"w{k}" for k in range(100)]
     texts = {d: " ".join(rng.choice(lexicon[: 3 + rng.randint(0, 97)]) for _ in range(rng.randint(0, 20))) for d in range(80)}  # few pairs a shard: a byte holds each log
     texts |= {1000: "w1 new w1 other new", 1001: None, 1002: "w7 " * 50}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     monkeypatch.setattr(lm, "HEAD_SHARE", head_share)
-    got = {r.doc_id: r.score for r in lm.scored(rows).collect()}
+    out = f"file://{tmp_path}/lm"
+    first = lm.scored(rows, out=out).collect()
+    got = {r.doc_id: r.score for r in first}
+    key = lambda r: (r.doc_id, *r[1:5], round(r.base_score, 9), round(r.score, 9))
+    assert sorted(map(key, lm.rescored(rows.repartition(2), out).collect())) == sorted(map(key, first)) == sorted(map(key, lm.scored(rows).collect()))
+    other = spark.createDataFrame([(5000, "w1 w2 never seen"), (5001, None)], "doc_id long, text string")
+    new = {r.doc_id: r for r in lm.rescored(other, out).collect()}
+    assert new[5000].n_known == 3 and new[5000].n_tokens == 5 and new[5001].n_tokens == 1
     toks = {d: ["<s>", *(t or "").split(), "</s>"] for d, t in texts.items()}
     train = [d for d in toks if zlib.crc32(str(d).encode()) % 7 != 2]
     one = Counter(w for d in train for w in toks[d][1:])

@@ -229,7 +229,23 @@ def test_elias_fano_and_trie():
     contexts, owner, words = np.array([5, 9, 1 << 60], np.uint64), np.array([0, 0, 2]), np.array([3, 8, 8])
     t = eliasfano.Trie(eliasfano.Trie.packed(contexts, np.array([-1.0, -2, -3]), owner, words, np.array([-0.5, -0.25, -0.125])))
     got = t.score(np.array([5, 5, 9, 7, 1 << 60], np.uint64), np.array([3, 4, 8, 8, 8], np.uint64), np.full(5, -4.0))
-    assert np.allclose(got, [-0.5, -5, -6, -4, -0.125]) and t.successors(0) == (0, 2) and t.successors(2) == (2, 3)
+    assert np.allclose(got, [-0.5, -5, -6, -4, -0.125]) and t.successors(0) == (0, 2) and t.successors(1) == (2, 2) and t.successors(2) == (2, 3)
+
+
+def test_a_pair_is_found_in_the_range_of_its_context():
+    rng = np.random.default_rng(9)
+    contexts, words = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64) << np.uint64(1)) for k in (300, 400))
+    pairs = np.unique(rng.integers(0, 300 * 400, 3000))
+    owner, logs = pairs // 400, -rng.random(len(pairs))
+    back = -rng.random(300)
+    t = eliasfano.Trie(eliasfano.Trie.packed(contexts, back, owner, words[pairs % 400], logs))
+    for c in range(300):
+        assert t.successors(c) == (np.searchsorted(owner, c), np.searchsorted(owner, c, "right"))
+    c, w, low = rng.integers(0, 300, 5000), rng.integers(0, 400, 5000), -rng.random(5000)
+    got = t.score(contexts[c], words[w], low)
+    known = dict(zip(pairs.tolist(), logs))
+    want = np.array([known.get(a * 400 + b, l + back[a]) for a, b, l in zip(c.tolist(), w.tolist(), low)])
+    assert np.abs(got - want).max() < 0.02 and (t.score(np.array([1, 3], np.uint64), words[:2], low[:2]) == low[:2]).all()
 
 
 def test_language_model(docs, plain):
