@@ -67,5 +67,11 @@ def toggled(disabled: Column, family: str) -> Column:
     return F.when(F.size(F.array_except(own, disabled)) == 0, F.array_except(disabled, own)).otherwise(F.array_union(disabled, own))
 
 
+def family_off(disabled: Column, family: str) -> Column:
+    """Whether all types of a family are off."""
+    own = F.array(*(F.lit(t[0]) for t in TYPES if t[3] == family))
+    return F.size(F.array_except(own, disabled)) == 0
+
+
 def known_types(disabled: Column) -> Column:
     return F.array_intersect(disabled, F.array(*map(F.lit, NAMES)))

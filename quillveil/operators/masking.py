@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
@@ -18,7 +18,7 @@ KEY = "array<struct<placeholder:string,original:string,type:string>>"
 _ROW = K.StructType([K.StructField("spans", T.SPANS_TYPE), K.StructField("key", K.ArrayType(K.StructType([K.StructField(c, K.StringType()) for c in ("placeholder", "original", "type")]))), K.StructField("anonymized", K.StringType())])
 
 
-def _processed(excluded: Sequence[str], disabled: Sequence[str], remainders: bool, detect: bool):
+def _processed(excluded: Sequence[str], disabled: Sequence[str], remainders: bool, detect: bool, resolve: bool = True):
     @F.pandas_udf(_ROW)
     def run(texts: pd.Series, given: pd.Series) -> pd.DataFrame:
         rows = []
@@ -31,19 +31,19 @@ def _processed(excluded: Sequence[str], disabled: Sequence[str], remainders: boo
             if not found:
                 rows.append((None, None, None))
                 continue
-            used, key, out = document.process(text, found, excluded, disabled, remainders)
+            used, key, out = document.process(text, found, excluded, disabled, remainders) if resolve else (found, *reversed(document.masked(text, found)))
             rows.append(([dict(zip(("start", "end", "type", "score", "label"), s)) for s in used], [dict(zip(("placeholder", "original", "type"), k)) for k in key], out))
         return pd.DataFrame(rows, columns=["spans", "key", "anonymized"])
 
     return run
 
 
-def mask(df: DataFrame, given: Column | None, text: str = "text", excluded: Sequence[str] = (), disabled: Sequence[str] = (), remainders: bool = False, detect: bool = False) -> DataFrame:
-    """Adds spans, key and anonymized from the spans ``given`` and, with ``detect``, those of all rules; Python sees only rows that may have some."""
+def mask(df: DataFrame, given: Column | None, text: str = "text", excluded: Sequence[str] = (), disabled: Sequence[str] = (), remainders: bool = False, detect: bool = False, resolve: bool = True) -> DataFrame:
+    """Adds spans, key and anonymized from the spans ``given`` and, with ``detect``, those of all rules; Python sees only rows that may have some. Without ``resolve`` the given spans, in order and apart, are masked as they are."""
     own = given if given is not None else F.lit(None).cast(T.SPANS)
     some = F.coalesce(F.size(own) > 0, F.lit(False))
     some = some | F.col(text).rlike(recognizers.CANDIDATE) | F.col(text).rlike(T.UNUSUAL) if detect else some
-    df = df.withColumn("_row", _processed(tuple(excluded), tuple(disabled), remainders, detect)(F.when(some, F.col(text)), F.when(some, own)))
+    df = df.withColumn("_row", _processed(tuple(excluded), tuple(disabled), remainders, detect, resolve)(F.when(some, F.col(text)), F.when(some, own)))
     df = df.withColumns({"spans": F.coalesce("_row.spans", T.no_spans()), "key": F.coalesce("_row.key", F.expr(f"cast(array() as {KEY})")), "anonymized": F.coalesce("_row.anonymized", F.col(text))})
     return df.drop("_row")
 
@@ -88,13 +88,3 @@ def restored(text: Column, key: Column) -> tuple[Column, Column]:
     by_token = lambda p: F.try_element_at(F.filter(last, lambda k: T.placeholder_key(k["placeholder"]) == T.placeholder_key(p)), F.lit(1))["original"]
     whole = F.array_join(F.transform(cut, lambda p, i: F.when(i % 2 == 1, F.coalesce(by_token(p), p)).otherwise(p)), "")
     return F.when(text.contains("["), whole).otherwise(text), F.filter(T.placeholders(text), lambda p: by_token(p).isNull())
-
-
-def session_key(steps: DataFrame) -> DataFrame:
-    """Stable placeholders over the documents of a session: (session, step, label, original, type) to one row per distinct value.
-
-    A value keeps the number of its first appearance; numbers go up by label. One shuffle by session and label.
-    """
-    first = steps.groupBy("session", "label", "original").agg(F.min(F.struct("step", "pos")).alias("first"), F.min_by("type", F.struct("step", "pos")).alias("type"))
-    nth = F.row_number().over(Window.partitionBy("session", "label").orderBy("first", "original"))
-    return first.withColumn("placeholder", F.concat(F.lit("["), "label", F.lit("_"), nth.cast("string"), F.lit("]"))).select("session", "label", "original", "type", "placeholder")

@@ -186,12 +186,12 @@ def manual(text: Column, terms: list[tuple[str, str | None]]) -> Column:
         if value:
             edge = lambda c: "[0-9]" if c.isdigit() else "\\p{L}" if c.isalpha() else "(?!)."
             found = T.spans_of(text, "\\Q" + value.replace("\\E", "\\E\\\\E\\Q") + f"\\E(?!{edge(value[-1])})", "MANUAL", before=f"(?<!{edge(value[0])})")
-            out.append(F.transform(found, lambda s, label=label: span_with(s, label)))
+            out.append(_labelled(found, label))
     return F.concat(*out)
 
 
-def span_with(s: Column, label: str | None) -> Column:
-    return T.span(s["start"], s["end"], s["type"], s["score"], F.lit(label))
+def _labelled(spans: Column, label: str | None) -> Column:
+    return F.transform(spans, lambda s: T.span(s["start"], s["end"], s["type"], s["score"], F.lit(label)))
 
 
 # Tags of a named-entity model.

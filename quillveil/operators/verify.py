@@ -1,11 +1,17 @@
-"""Leak checks on masked texts, and fidelity of keys read from scans."""
+"""Leak checks on masked texts, parts and bytes, and fidelity of keys read from scans."""
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import entities as E
+from ..functions import placeholders as P
 from ..functions import text as T
 from ..functions import validators as V
 
@@ -22,9 +28,145 @@ def survives(body: Column, needle: Column) -> Column:
     return F.coalesce((F.length(needle) > 0) & (found(needle) | found(F.reverse(needle))), F.lit(False))
 
 
-def leaks(body: Column, needles: Column) -> Column:
-    """The needles that survive in the text."""
-    return F.filter(F.array_distinct(needles), lambda n: survives(body, n))
+def leaks(body: Column, needles: Column, meta: Column | None = None) -> Column:
+    """The needles that survive in the text, or in the text beside it."""
+    seen = (lambda n: survives(body, n)) if meta is None else (lambda n: survives(body, n) | survives(meta, n))
+    return F.filter(F.array_distinct(needles), seen)
+
+
+#: Trusted values shorter than this are found by chance.
+LEAST_TRUSTED = 4
+
+
+def trusted_leaks(text: Column, key: Column) -> Column:
+    """Values of a scan's key that checked out and still stand in the masked text."""
+    own = F.filter(key, lambda k: (k["source"] == "validated") & (F.length(k["original"]) >= LEAST_TRUSTED) & F.contains(text, k["original"]))
+    return F.transform(own, lambda k: k["original"])
+
+
+TEXT_PART = "(?i)\\.(xml|rels)$"
+
+
+def part_leaks(parts: Column, needles: Column) -> Column:
+    """(path, needle) of every needle that survives in a text part of a file (a map of path to decoded text): as in ``leaks``, and names
+    of several words with other gaps between them, or none."""
+    def hits(part: Column) -> Column:
+        named = lambda n: F.coalesce(F.regexp_like(T.strip_controls(part["value"]), P.name_pattern(n)), F.lit(False))
+        return F.transform(F.filter(F.array_distinct(needles), lambda n: survives(part["value"], n) | named(n)), lambda n: F.struct(part["key"].alias("path"), n.alias("needle")))
+
+    return F.flatten(F.transform(F.filter(F.map_entries(parts), lambda p: p["key"].rlike(TEXT_PART)), hits))
+
+
+_CONTROLS, _GAPS, _GAP = re.compile(f"[\\u00AD{T.BIDI}]"), re.compile(f"[{T.WS}\\u2010-\\u2015-]"), f"[{T.WS}\\u2010-\\u2015-]*"
+_RUNS, _NAME_GAP = re.compile(RUN), re.compile(P.NAME_GAP)
+
+
+def plain_form(text: str) -> str:
+    """Leak form of a string."""
+    return _GAPS.sub("", _CONTROLS.sub("", text))
+
+
+def _is_number(form: str) -> bool:
+    return form != "" and form.isascii() and form.isdigit()
+
+
+def _has_word(text: str, words: str) -> bool:
+    return re.search(f"(?<![{T.WORDISH}]){re.escape(words)}(?![{T.WORDISH}])", text) is not None
+
+
+def plain_survives(body: str, needle: str) -> bool:
+    """``survives`` on strings."""
+    if not needle:
+        return False
+    form = plain_form(needle)
+    if _is_number(form):
+        seen = plain_form(body)
+        return any(re.search(f"(?<![0-9]){n}(?![0-9])", seen) for n in (form, form[::-1]))
+    seen, word = _CONTROLS.sub("", body), _CONTROLS.sub("", needle)
+    return any(_has_word(seen, n) for n in (word, word[::-1]) if n)
+
+
+def plain_leak_spans(text: str, value: str, kind: str) -> list[tuple[int, int, str, float, None]]:
+    """``leak_spans`` on strings."""
+    form, word = plain_form(value), value.strip()
+    if _is_number(form):
+        return [(m.start(), m.end(), kind, 1.0, None) for m in _RUNS.finditer(text) if plain_form(m[0]) == form]
+    if not word:
+        return []
+    return [(m.start(), m.start() + len(word), kind, 1.0, None) for m in re.finditer(f"(?<![{T.WORDISH}])(?={re.escape(word)}(?![{T.WORDISH}]))", text)]
+
+
+def plain_part_leaks(text: str, needles: list[str]) -> list[str]:
+    """The needles that survive in a part's text, names of several words with any gap between them."""
+    seen, out = _CONTROLS.sub("", text), []
+    for n in dict.fromkeys(needles):
+        words = [w for w in _NAME_GAP.split(_CONTROLS.sub("", n)) if w]
+        loose = len(words) >= 2 and not _is_number(plain_form(n)) and re.search(f"(?<![{T.WORDISH}]){_GAP.join(map(re.escape, words))}(?![{T.WORDISH}])", seen)
+        if loose or plain_survives(text, n):
+            out.append(n)
+    return out
+
+
+# What tells streams of fonts and images, and the forms in which a value may lie in bytes.
+ASSET = re.compile(rb"/FontFile[23]?\b|/Length1\b|/Subtype\s*/(?:Image|CIDFontType|Type1C|TrueType)|/Type\s*/Font")
+FORMS = (("utf-8", "utf-8", False), ("utf-16le", "utf-16-le", False), ("utf-16be", "utf-16-be", False), ("utf-8 (reversed)", "utf-8", True), ("utf-16le (reversed)", "utf-16-le", True))
+STREAM = re.compile(rb"stream\r?\n?(.*?)endstream", re.S)
+
+
+def streams(content: bytes) -> list[bytes]:
+    """The streams of a file but those of fonts and images, as they lie and inflated where they can be."""
+    out = []
+    for m in STREAM.finditer(content):
+        at = content.rfind(b" obj", 0, m.start() + 4)
+        head = content[max(at, m.start() - 2000) if at >= 0 else max(0, m.start() - 512) : m.start()]
+        if ASSET.search(head):
+            continue
+        out.append(m[1])
+        for bits in (15, -15):
+            try:
+                out.append(zlib.decompressobj(bits).decompress(m[1]))
+                break
+            except zlib.error:
+                continue
+    return out
+
+
+def bytes_hold(content: bytes, needles: list[str]) -> list[str]:
+    """``needle [form]`` of every form of a needle in a file's bytes or streams."""
+    where = [content, *streams(content)]
+    out = []
+    for n in needles:
+        for name, code, back in FORMS:
+            form = (n[::-1] if back else n).encode(code, "surrogatepass")
+            if form and any(form in w for w in where):
+                out.append(f"{n} [{name}]")
+    return out
+
+
+@F.pandas_udf(K.ArrayType(K.StringType()))
+def byte_leaks(contents: pd.Series, needles: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else bytes_hold(c, [] if n is None else list(n)) for c, n in zip(contents, needles)])
+
+
+def generations(content: Column) -> Column:
+    """Whether a file has one generation alone: exactly one end mark and one table mark."""
+    raw = F.decode(content, "ISO-8859-1")
+    n = lambda mark: F.regexp_count(raw, F.lit(mark))
+    return F.struct(n("%%EOF").alias("ends"), n("startxref").alias("tables"), ((n("%%EOF") == 1) & (n("startxref") == 1)).alias("single"))
+
+
+def worth_warning(key: Column, text_hits: Column, byte_hits: Column) -> Column:
+    """The originals to warn of: whatever survives in the text, and of what is only in the bytes the rows of high confidence."""
+    own = F.filter(key, lambda k: F.array_contains(text_hits, k["original"]) | F.array_contains(byte_hits, k["original"]) & high_confidence(k))
+    return F.array_distinct(F.transform(own, lambda k: k["original"]))
+
+
+def file_check(content: Column, text: Column, meta: Column, key: Column) -> Column:
+    """All three layers on a finished file: values in its text or beside it, forms in its bytes, generations."""
+    needles = F.transform(key, lambda k: k["original"])
+    a, b, c = leaks(text, needles, meta), byte_leaks(content, needles), generations(content)
+    plain = F.transform(b, lambda h: F.regexp_replace(h, " \\[[^\\[]*\\]$", ""))
+    return F.struct(a.alias("in_text"), b.alias("in_bytes"), c.alias("generations"), worth_warning(key, a, plain).alias("warn"), ((F.size(a) == 0) & (F.size(b) == 0) & c["single"]).alias("passed"))
 
 
 def leak_spans(text: Column, key: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import entities as E
 from ..functions import text as T
 from ..functions import validators as V
-from ..operators import keys, masking, recognizers, scan, spans, verify
+from ..operators import keys, masking, recognizers, scan, sessions, spans, verify
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,8 +301,8 @@ SELECT session, label, original, '[' || label || '_' || row_number() OVER (PARTI
 )
 def session_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable numbers by session and label, in order of first appearance."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("step"), F.col("event_id").alias("pos"), F.col("event_type").alias("label"), F.col("props").alias("original"), F.lit("MANUAL").alias("type"))
-    return masking.session_key(e).select("session", "label", "original", "placeholder")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("step"), F.col("event_id").alias("pos"), F.col("event_type").alias("label"), F.col("props").alias("original"), F.col("event_type").alias("type"))
+    return sessions.session_key(e).select("session", "label", "original", "placeholder")
 
 
 # ---- pages read by OCR: lineitem as words -----------------------------------------------------------------------------------

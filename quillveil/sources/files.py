@@ -16,6 +16,7 @@ from pyspark.sql import types as K
 MOST_BYTES, MOST_INFLATED = 50 << 20, 200 << 20
 DOCX_PARTS = re.compile(r"^word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$")
 XLSX_PARTS = re.compile(r"^xl/(sharedStrings|comments\d*|worksheets/sheet\d+)\.xml$")
+DOCX_PART, XLSX_PART = re.compile(r"word/(?:document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml"), re.compile(r"xl/(?:sharedStrings|worksheets/sheet\d+)\.xml")
 TEXT_NODE = re.compile(r"(<(w:t|w:delText|w:instrText|t)(?:\s[^>]*)?>)([^<]*)(</\2>)")
 BLOCK_END = re.compile(r"</(?:w:p|si|c|text)>")
 
@@ -73,26 +74,29 @@ def office_text(contents: pd.Series) -> pd.Series:
     return contents.map(lambda c: None if c is None else plain_text(c))
 
 
+def changed_blocks(xml: str, change: Callable[[str], str], only: str = "") -> str:
+    """A part with each block's text changed; a block's new text goes into its first node, so split runs are met whole."""
+    parts, at = [], 0
+    for end in [*(m.end() for m in BLOCK_END.finditer(xml)), len(xml)]:
+        block, at = xml[at:end], end
+        if only in block:
+            nodes = list(TEXT_NODE.finditer(block))
+            old = "".join(decoded(m[3]) for m in nodes)
+            new = change(old) if old else old
+            if new != old:
+                fresh = iter([encoded(new), *[""] * len(nodes)])
+                block = TEXT_NODE.sub(lambda m: m[1] + next(fresh) + m[4], block)
+        parts.append(block)
+    return "".join(parts)
+
+
 def rewritten(content: bytes, change: Callable[[str], str]) -> bytes:
-    """The file with each block's text changed; a block's new text goes into its first node, so split runs are met whole."""
+    """The file with each block's text changed."""
     out = io.BytesIO()
     wanted = dict(parts_of(content))
     with zipfile.ZipFile(io.BytesIO(content)) as src, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as dst:
         for info in src.infolist():
-            if info.filename not in wanted:
-                dst.writestr(info, src.read(info))
-                continue
-            xml, parts, at = wanted[info.filename], [], 0
-            for end in [*(m.end() for m in BLOCK_END.finditer(wanted[info.filename])), len(xml)]:
-                block, at = xml[at:end], end
-                nodes = list(TEXT_NODE.finditer(block))
-                old = "".join(decoded(m[3]) for m in nodes)
-                new = change(old) if old else old
-                if new != old:
-                    fresh = iter([encoded(new), *[""] * len(nodes)])
-                    block = TEXT_NODE.sub(lambda m: m[1] + next(fresh) + m[4], block)
-                parts.append(block)
-            dst.writestr(info, "".join(parts))
+            dst.writestr(info, changed_blocks(wanted[info.filename], change) if info.filename in wanted else src.read(info))
     return out.getvalue()
 
 
