@@ -6,7 +6,7 @@ import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
@@ -161,12 +161,13 @@ def worth_warning(key: Column, text_hits: Column, byte_hits: Column) -> Column:
     return F.array_distinct(F.transform(own, lambda k: k["original"]))
 
 
-def file_check(content: Column, text: Column, meta: Column, key: Column) -> Column:
-    """All three layers on a finished file: values in its text or beside it, forms in its bytes, generations."""
+def checked_files(df: DataFrame, content: str = "content", text: str = "text", meta: str = "meta", key: str = "key") -> DataFrame:
+    """Adds all three layers on finished files: in_text (values in the text or beside it), in_bytes (forms in the bytes), generations,
+    warn (what to warn of) and passed."""
     needles = F.transform(key, lambda k: k["original"])
-    a, b, c = leaks(text, needles, meta), byte_leaks(content, needles), generations(content)
-    plain = F.transform(b, lambda h: F.regexp_replace(h, " \\[[^\\[]*\\]$", ""))
-    return F.struct(a.alias("in_text"), b.alias("in_bytes"), c.alias("generations"), worth_warning(key, a, plain).alias("warn"), ((F.size(a) == 0) & (F.size(b) == 0) & c["single"]).alias("passed"))
+    df = df.withColumns({"in_text": leaks(F.col(text), needles, F.col(meta)), "in_bytes": byte_leaks(F.col(content), needles), "generations": generations(F.col(content))})
+    plain = F.transform("in_bytes", lambda h: F.regexp_replace(h, " \\[[^\\[]*\\]$", ""))
+    return df.withColumns({"warn": worth_warning(F.col(key), F.col("in_text"), plain), "passed": (F.size("in_text") == 0) & (F.size("in_bytes") == 0) & F.col("generations.single")})
 
 
 def leak_spans(text: Column, key: Column) -> Column:

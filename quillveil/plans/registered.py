@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, functions
+from . import catalog, documents, functions
 
-MODULES = (catalog, functions)
+MODULES = (catalog, functions, documents)
 QUERIES, ORACLE_SQL = catalog.QUERIES, catalog.ORACLE_SQL
