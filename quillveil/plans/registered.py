@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, documents, functions
+from . import catalog, documents, functions, state
 
-MODULES = (catalog, functions, documents)
+MODULES = (catalog, functions, documents, state)
 QUERIES, ORACLE_SQL = catalog.QUERIES, catalog.ORACLE_SQL

@@ -1,6 +1,8 @@
 import math
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,11 +14,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _rows(df):
     def plain(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return "null"
-        if hasattr(v, "tolist") or isinstance(v, (list, tuple)):
-            return str(list(v))
-        return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        if isinstance(v, (np.ndarray, list, tuple)):
+            return str([x.item() if isinstance(x, np.generic) else x for x in v])
+        return f"{float(v):.6g}" if isinstance(v, (int, float, np.integer)) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
