@@ -100,6 +100,12 @@ def placeholder_key(token: Column) -> Column:
     return F.regexp_replace(token, f"[{BIDI}{QUOTES}{WS}]", "")
 
 
+def same_placeholder(a: Column, b: Column) -> Column:
+    """Whether two placeholder keys are one: letters in any canonical form, as the collation compares them."""
+    plain = "^[\\x00-\\x7F]*$"
+    return (a == b) | F.when(a.rlike(plain) | b.rlike(plain), False).otherwise(F.collate(a, "UNICODE") == F.collate(b, "UNICODE"))
+
+
 def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1)
 

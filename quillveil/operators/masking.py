@@ -81,10 +81,22 @@ def anonymize_manual(df: DataFrame, terms: Sequence[tuple[str, str | None]], tex
     return mask(df, recognizers.manual(F.col(text), list(terms)), text)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` looks at it."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def restored(text: Column, key: Column) -> tuple[Column, Column]:
     """The text with every known placeholder replaced (cosmetic changes allowed; of equal ones the last row holds), and the unknown ones."""
-    cut = T.pieces(text, T.TOKEN)
-    last = F.reverse(key)
-    by_token = lambda p: F.try_element_at(F.filter(last, lambda k: T.placeholder_key(k["placeholder"]) == T.placeholder_key(p)), F.lit(1))["original"]
-    whole = F.array_join(F.transform(cut, lambda p, i: F.when(i % 2 == 1, F.coalesce(by_token(p), p)).otherwise(p)), "")
-    return F.when(text.contains("["), whole).otherwise(text), F.filter(T.placeholders(text), lambda p: by_token(p).isNull())
+    known = F.transform(F.reverse(key), lambda k: F.struct(T.placeholder_key(k["placeholder"]).alias("token"), k["original"].alias("original")))
+
+    def original(rows: Column, p: Column) -> Column:
+        return _bound(T.placeholder_key(p), lambda q: F.try_element_at(F.filter(rows, lambda k: T.same_placeholder(k["token"], q)), F.lit(1))["original"])
+
+    def whole(rows: Column) -> Column:
+        return F.array_join(F.transform(T.pieces(text, T.TOKEN), lambda p, i: F.when(i % 2 == 1, F.coalesce(original(rows, p), p)).otherwise(p)), "")
+
+    def unknown(rows: Column) -> Column:
+        return F.filter(T.placeholders(text), lambda p: original(rows, p).isNull())
+
+    return F.when(text.contains("["), _bound(known, whole)).otherwise(text), _bound(known, unknown)
