@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
-#: Bytes of text that are taken apart at once (a single longer text is still taken whole).
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are taken apart at once (a single longer text is still taken whole), that come in one Arrow batch, and that a
+#: worker reads before it gives freed memory back (page faults after that cost time).
+SLICE_BYTES, BATCH_BYTES, RELEASE_BYTES = 8 << 20, 8 << 20, 128 << 20
 _U = np.uint64
 
 
@@ -42,8 +45,19 @@ def forget() -> None:
         release()
 
 
+def modest(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches limited to ``BATCH_BYTES``: texts are long, and the executor and its worker each hold
+    a batch that goes in and one that comes out. A lower limit of the session stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get(name).strip().lower()).groups()
+    if not 0 < int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Zero-copy row slices with at most ``most`` bytes of text, one row at least."""
+    read = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -55,7 +69,11 @@ def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at), col.slice(at, to - at)
             at = to
-        release()
+        read += int(ends[-1])
+        if read > RELEASE_BYTES:
+            release()
+            read = 0
+    release()
 
 
 def words(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -116,5 +134,9 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + lengths[i] - 1`` of all i, one after the other."""
     n = int(lengths.sum())
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) if n else np.empty(0, np.int64)
-    return at + np.arange(n)
+    if not n:
+        return np.empty(0, np.int64)
+    kind = np.int32 if n + int(starts.max()) < 1 << 31 else np.int64
+    at = np.repeat((starts - np.concatenate([[0], np.cumsum(lengths)[:-1]])).astype(kind), lengths)
+    at += np.arange(n, dtype=kind)
+    return at

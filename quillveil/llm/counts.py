@@ -85,7 +85,12 @@ class Counter:
         return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.float64)
 
 
-_counters: dict[str, Counter] = {}
+def counter(path: str) -> Counter:
+    """The worker's counter for this file; workers keep it over tasks, until one of another kind comes."""
+    if path not in arrow.kept:
+        arrow.forget()
+        arrow.kept[path] = Counter(pieces(path))
+    return arrow.kept[path]
 
 
 def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -93,14 +98,13 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(pieces(path))
+        own = counter(path)
         for batch, col in arrow.sliced(batches, "text"):
             flat, offsets = arrow.words(col)
             codes, distinct = arrow.coded(flat)
-            n, score = _counters[path].counts(distinct.to_pylist())
+            n, score = own.counts(distinct.to_pylist())
             out = [np.diff(offsets), arrow.segment_sums(n[codes], offsets), arrow.segment_sums(score[codes], offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0]), pa.array(out[1].astype(np.int64)), pa.array(out[2].astype(np.float64))], ["doc_id", "n_words", "n_tokens", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = arrow.modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, score double")

@@ -145,7 +145,7 @@ def write_tokens(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col:
     One shuffle: the texts are dealt by ranges of ``id_col``; ``part`` ascends with it, and ``seq`` inside a part.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = arrow.modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(store.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_segments(path or tokens.default_path(), end, "doc_id", "text"), SEGMENT_SCHEMA).write.option("compression", "none").parquet(out)
 

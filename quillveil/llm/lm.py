@@ -400,7 +400,7 @@ def _dealt(rows: DataFrame, words: DataFrame, lower: Lower) -> DataFrame:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return arrow.modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", out: str | None = None) -> DataFrame:

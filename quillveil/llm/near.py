@@ -109,7 +109,7 @@ def _signed(size: int, bands: int, rows: int):
         arrow.forget()
         signer = Signer(bands * rows)
         own = arrow.mixed(np.arange(1, bands * rows + 1, dtype=_U))
-        for batch, col in arrow.sliced(batches, "text"):
+        for batch, col in arrow.sliced(batches, "text", 4 << 20):
             sets = list(shingle_sets(col, size))
             n = np.array([len(s) for s in sets], np.int64)
             prints = fingerprints(sets)
@@ -126,7 +126,7 @@ def _signed(size: int, bands: int, rows: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, col in arrow.sliced(batches, "text"):
+        for batch, col in arrow.sliced(batches, "text", 4 << 20):
             sets = list(shingle_sets(col, size))
             n, prints = np.array([len(s) for s in sets], np.int64), fingerprints(sets)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -180,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, *, size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, mark, bytes, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    texts = docs.select(*R.key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    texts = arrow.modest(docs).select(*R.key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     salt = F.pmod(F.xxhash64("node"), F.lit(max(16, store.partitions(spark)))).cast("int").alias("salt")
     # the write fixes the number of each row, its node
     signed = store.written(texts.mapInArrow(_signed(size, bands, rows), SIGNED).withColumn("node", F.monotonically_increasing_id()), "signed").select("*", salt)

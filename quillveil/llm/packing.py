@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,8 +45,8 @@ def _fill(left: dict[int, int], order: list[int], room: int) -> dict[int, int]:
     return out
 
 
-def plan(counts: dict[int, int], size: int) -> pd.DataFrame:
-    """Where the pieces of each length go: rows (length, first_rank, per_bin, first_bin, offset), by length and first_rank.
+def plan(counts: dict[int, int], size: int) -> dict[str, np.ndarray]:
+    """Where the pieces of each length go: columns length, first_rank, per_bin, first_bin, offset, by length and first_rank.
 
     Piece number r of a length, from first_rank on, lies in bin first_bin + (r - first_rank) // per_bin, at offset plus length
     times the remainder.
@@ -70,7 +69,8 @@ def plan(counts: dict[int, int], size: int) -> pd.DataFrame:
             left[n] -= times * chosen[n]
         bins += times
         order = [n for n in order if left[n]]
-    return pd.DataFrame(rows, columns=["length", "first_rank", "per_bin", "first_bin", "offset"]).sort_values(["length", "first_rank"], ignore_index=True)
+    table = np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return dict(zip(("length", "first_rank", "per_bin", "first_bin", "offset"), table.T))
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -85,7 +85,7 @@ def _pieces(path: str, end: int, size: int, keep_ids: bool):
             n = np.diff(offsets)
             per = -(-n // size)
             row = np.repeat(np.arange(len(n)), per)
-            piece = arrow.spread(np.zeros(len(n), np.int64), per)
+            piece = arrow.spread(np.zeros(len(n), np.int64), per).astype(np.int64)
             start = piece * size
             length = np.minimum(size, n[row] - start)
             raw = memoryview(ids.astype("<u4").tobytes())
@@ -107,20 +107,20 @@ def pack(docs: DataFrame, *, size: int = 2048, id_col: str = "doc_id", text_col:
     Longer documents alone are cut, every ``size`` tokens. ``ids`` (uint32, little-endian) lets ``sequences`` put them together.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = arrow.modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = store.written(rows.mapInArrow(_pieces(path or tokens.default_path(), end, size, keep_ids), WITH_IDS if keep_ids else PIECES), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     found = plan(counts, size)
     shift = 40  # ranks stay below 2**40, lengths below 2**23
-    keys = (found["length"].to_numpy(np.int64) << shift) + found["first_rank"].to_numpy(np.int64)
-    per, first_bin, offset = (found[c].to_numpy(np.int64) for c in ("per_bin", "first_bin", "offset"))
+    keys = (found["length"] << shift) + found["first_rank"]
+    per, first_bin, offset = (found[c] for c in ("per_bin", "first_bin", "offset"))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        n, r = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (length, rank))
         at = np.searchsorted(keys, (n << shift) + r, "right") - 1
         r = r - (keys[at] & (1 << shift) - 1)
-        return pd.DataFrame({"sequence_id": first_bin[at] + r // per[at], "offset": offset[at] + r % per[at] * n})
+        return pa.StructArray.from_arrays([pa.array(first_bin[at] + r // per[at]), pa.array(offset[at] + r % per[at] * n)], ["sequence_id", "offset"])
 
     buckets = 4 * store.partitions(spark)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))

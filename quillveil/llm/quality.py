@@ -87,7 +87,7 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     arrow.forget()
-    for batch, col in arrow.sliced(batches, "text", 4 << 20):
+    for batch, col in arrow.sliced(batches, "text", 2 << 20):
         counts, x = statistics(col)
         ok = ~base_failed(counts)
         yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(ok)) for k in (0, 1)), pa.FixedSizeListArray.from_arrays(x[ok].ravel(), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "y", "x"])
@@ -97,7 +97,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     """Trees fitted on at most ``most`` labelled documents that pass the base limits; None without both classes."""
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna()
     own = own.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    rows = arrow.modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "doc_id")
     seen = rows.select("doc_id", "y", "text").mapInArrow(_features, "doc_id long, y int, x array<double>")
     got = seen.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("first")).select("doc_id", "first.*").toPandas()  # at most ``most`` rows of a few numbers
     got = got.sort_values("doc_id")
@@ -119,12 +119,12 @@ def judged(docs: DataFrame, forest: trees.Forest | None, *, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow.forget()
-        for batch, col in arrow.sliced(batches, "text", 4 << 20):
+        for batch, col in arrow.sliced(batches, "text", 2 << 20):
             counts, x = statistics(col)
             failed, score, kept = verdicts(counts, x, forest)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = arrow.modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double")
 
 
@@ -133,7 +133,7 @@ def kept_rows(docs: DataFrame, forest: trees.Forest | None, *, text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow.forget()
-        for batch, col in arrow.sliced(batches, text_col, 4 << 20):
+        for batch, col in arrow.sliced(batches, text_col, 2 << 20):
             yield batch.filter(pa.array(verdicts(*statistics(col), forest)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow.modest(docs).mapInArrow(run, docs.schema)

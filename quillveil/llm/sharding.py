@@ -160,41 +160,49 @@ def reshard(docs: DataFrame, old_shard: Column, *, shards: int = SHARDS, old_sha
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot"), *carry)
 
 
-KEY = ("doc_id", "size", "text_crc32", "old_shard")
+#: Known of a row before and after it is placed; no nulls, so that rows dealt by it are joined where they lie.
+KEY = ("id", "no_id", "size", "text_crc32", "old_shard")
 WRITTEN = "doc_id long, text string, old_shard int, slot long, shard int"
+#: Bytes of texts that a file is meant to hold.
+FILE_BYTES = 32 << 20
 
 
-def _with_text(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """``rows`` (KEY and text) at their places; of rows with the same key each takes one place."""
-    def met(a: DataFrame, b: DataFrame, *names: str) -> DataFrame:
-        b = b.select(*(F.col(c).alias(f"p_{c}") if c in names else F.col(c) for c in b.columns))
-        on = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in names]
-        return a.join(b, on).drop(*(f"p_{c}" for c in names))
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
 
+
+def _with_text(rows: DataFrame, placed: DataFrame, parts: int) -> DataFrame:
+    """``rows`` (KEY, doc_id and text) at their places, dealt by KEY; of rows with the same key each takes one place."""
     groups = placed.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("shard", "slot")).alias("place"))
     groups = store.written(groups.select(*KEY, "n", "place.*"), "places")
-    single = groups.where("n = 1").drop("n")
-    out = met(rows, store.small(single, groups.count(), 64), *KEY)
+    # the texts are shuffled once, whatever the size of the places: what is broadcast here would grow with the documents
+    out = rows.repartition(parts, *KEY).join(groups.where("n = 1").drop("n").hint("shuffle_hash"), list(KEY))
     many = groups.where("n > 1").select(*KEY)
     if many.head(1):
         copy = lambda *by: F.row_number().over(Window.partitionBy(*KEY).orderBy(*by)).alias("copy")
-        places = met(placed.select(*KEY, "shard", "slot"), many, *KEY).select("*", copy("shard", "slot"))
-        out = out.unionByName(met(met(rows, many, *KEY).select("*", copy("text")), places, *KEY, "copy").drop("copy"))
+        places = placed.select(*KEY, "shard", "slot").join(many, list(KEY), "left_semi").select("*", copy("shard", "slot"))
+        again = rows.join(many, list(KEY), "left_semi").select("*", copy("text"))
+        out = out.unionByName(again.join(places, [*KEY, "copy"]).drop("copy"))
     return out
 
 
 def rewrite(docs: DataFrame, old_shard: Column, placed: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Write the affected shards (those that a row enters or leaves) to ``out``, a folder each, an empty one for a shard that all
-    rows leave; the others' files stay as they are. ``placed``: what ``reshard`` gave for the same rows."""
+    rows leave; the others' files stay as they are. ``placed``: what ``reshard`` gave for the same rows.
+
+    Texts are shuffled once, to their places, and each task writes a file for each shard: there are as many tasks as the cluster has
+    cores, or as many as keep files at ``FILE_BYTES`` if those are more.
+    """
     moved = placed.where("shard <> old_shard")
     affected = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})  # old and new shards at most
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), size_of(text).alias("size"), crc_of(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
     placed = placed.where(F.col("shard").isin(affected)) if affected else placed.limit(0)
-    held = {r[0] for r in placed.select("shard").distinct().collect()}
-    rows = _with_text(rows, placed).withColumn("bucket", F.pmod(F.col("slot"), F.lit(store.partitions(docs.sparkSession))))
-    rows.repartition("shard", "bucket").select("doc_id", "text", "old_shard", "slot", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(out)
-    for k in set(affected) - held:
+    load = {r["shard"]: r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()}  # new shards at most
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sum(load.values()) // (FILE_BYTES * max(1, len(load)))))
+    rows = _with_text(_keyed(rows), _keyed(placed), parts)
+    rows.select("doc_id", "text", "old_shard", "slot", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(out)
+    for k in set(affected) - set(load):
         docs.sparkSession.createDataFrame([], WRITTEN).drop("shard").write.parquet(f"{out}/shard={k}")
     return affected
 

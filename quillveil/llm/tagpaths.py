@@ -224,5 +224,5 @@ def extracted(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...]
             out = [main_text(x) for x in col.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], [*keep, "text", "n_chars"])
 
-    rows = pages.select(*keep, F.col(html_col).cast("string").alias("quillveil_html"))
+    rows = arrow.modest(pages).select(*keep, F.col(html_col).cast("string").alias("quillveil_html"))
     return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", text string, n_chars long")

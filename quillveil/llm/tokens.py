@@ -103,8 +103,9 @@ def encoder(path: str) -> Encoder:
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with id ``end`` after each text."""
-    n = len(offsets) - 1
-    to = offsets + np.arange(n + 1)
-    out = np.full(to[-1] if n else 0, end, np.uint32)
-    out[np.arange(len(ids)) + arrow.row_of(offsets)] = ids
+    to = offsets + np.arange(len(offsets))
+    out = np.full(to[-1], end, np.uint32)
+    own = np.ones(to[-1], bool)
+    own[to[1:] - 1] = False
+    out[own] = ids
     return out, to

@@ -100,10 +100,40 @@ def test_bin_slack_plan_places_every_piece_once():
     rng = np.random.default_rng(2)
     c = {int(n): int(k) for n, k in zip(rng.choice(np.arange(1, 101), 40, replace=False), rng.integers(1, 500, 40))}
     p = packing.plan(c, 100)
-    used = p.assign(next=p.groupby("length").first_rank.shift(-1))
     total = sum(n * k for n, k in c.items())
-    assert p.first_bin.max() + 1 <= 1.05 * total / 100 + 2 and (used.next.dropna() > used.first_rank[used.next.notna()]).all()
-    assert packing.plan({}, 100).empty
+    assert p["first_bin"].max() + 1 <= 1.05 * total / 100 + 2
+    for n in set(p["length"].tolist()):
+        ranks = p["first_rank"][p["length"] == n]
+        assert ranks[0] == 0 and (np.diff(ranks) > 0).all() and ranks[-1] < c[n]
+    assert not len(packing.plan({}, 100)["length"])
+
+
+def fewest(lengths, size):
+    """Fewest bins, by trying all ways to deal the pieces."""
+    best = len(lengths)
+
+    def go(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= size and bins[i] not in bins[:i]:
+                go(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        go(k + 1, [*bins, lengths[k]])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_small_packings_take_nearly_the_fewest_bins(seed):
+    rng = random.Random(seed)
+    lengths = sorted((rng.randint(1, 20) for _ in range(9)), reverse=True)
+    counts = {n: lengths.count(n) for n in lengths}
+    assert packing.plan(counts, 20)["first_bin"].max() + 1 <= fewest(lengths, 20) + 1
 
 
 def test_exact_dedup(docs, plain):
