@@ -5,7 +5,7 @@ and as native expressions (``native``). With the native form alone a query took
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -106,7 +106,13 @@ def native(text: Column) -> Column:
 
 
 Found = tuple[int, int, str, float, str | None]
-_COMPILED = [(r, re.compile(f"{r.before}({r.lead})({r.value})"), CHECKS[r.check][1] if r.check else None) for r in (*RULES, EMAIL_RULE)]
+
+
+def compiled(rules: Iterable[Rule]) -> list[tuple[Rule, re.Pattern, Callable[[str], bool] | None]]:
+    return [(r, re.compile(f"{r.before}({r.lead})({r.value})"), CHECKS[r.check][1] if r.check else None) for r in rules]
+
+
+_COMPILED = compiled((*RULES, EMAIL_RULE))
 _DIGIT = re.compile("[0-9]")
 #: Characters that detection reads in another form, by their canonical form or digit; None: looked through.
 _FOLDS = T.folds()
@@ -124,8 +130,14 @@ def plain_shadow(text: str) -> tuple[str, list[int] | None]:
     return out, at
 
 
-def found(text: str) -> list[Found]:
-    """Spans of all rules, organisations last, with their places in the text itself."""
+def with_rules(rules: Iterable[Rule]) -> Callable[[str], list[Found]]:
+    """Detection by the built-in rules and the caller's own, which come last; the result is a function of a text."""
+    own = compiled(rules)
+    return lambda text: found(text, own)
+
+
+def found(text: str, own: Sequence[tuple] = ()) -> list[Found]:
+    """Spans of all rules, organisations after them, then those of ``own`` compiled rules, with their places in the text itself."""
     seen, at = plain_shadow(text)
     out: list[Found] = []
     digits = _DIGIT.search(seen) is not None
@@ -134,6 +146,7 @@ def found(text: str) -> list[Found]:
             continue
         out += [(m.start(2), m.end(2), rule.kind, rule.score, None) for m in pattern.finditer(seen) if check is None or check(m[2])]
     out += [(s["start"], s["end"], s["type"], s["score"], None) for s in organisation_spans(seen)]
+    out += [(m.start(2), m.end(2), rule.kind, rule.score, None) for rule, pattern, check in own for m in pattern.finditer(seen) if check is None or check(m[2])]
     return out if at is None else [(at[a], at[b - 1] + 1, *rest) for a, b, *rest in out]
 
 

@@ -13,9 +13,20 @@ from pyspark.sql import types as K
 from ..functions import text as T
 from . import document, masking, overlay, recognizers, verify
 
-# Limits of the quality gate, padding of rectangles, overlap of lines.
+# Limits of the quality gate, padding of rectangles.
 LEAST_WORDS, LEAST_MEAN, LOW, MOST_LOW = 2, 75.0, 60.0, 0.12
-PAD, LEAST_PAD, SAME_LINE = 0.15, 1.0, 0.4
+PAD, LEAST_PAD = 0.15, 1.0
+
+
+def words_of(pages: DataFrame, *keys: str) -> DataFrame:
+    """Words of recognised pages as rows: keys, word_idx and the words' own fields. Pages hold blocks of paragraphs of lines of words, or
+    ``words`` at once."""
+    if "words" in pages.columns:
+        flat = F.col("words")
+    else:
+        lines = F.flatten(F.transform(F.flatten(F.transform("blocks", lambda b: b["paragraphs"])), lambda p: p["lines"]))
+        flat = F.flatten(F.transform(lines, lambda x: x["words"]))
+    return pages.select(*keys, F.posexplode(flat).alias("word_idx", "w")).select(*keys, "word_idx", "w.*")
 
 
 def page_text(words: DataFrame, *keys: str) -> DataFrame:
@@ -53,10 +64,6 @@ def to_page(box: list[Column], image: tuple[Column, Column], page: tuple[Column,
     return [origin[k % 2] + c * scale[k % 2] for k, c in enumerate(box)]
 
 
-def same_line(a0: Column, a1: Column, b0: Column, b1: Column, share: float = SAME_LINE) -> Column:
-    return F.least(a1, b1) - F.greatest(a0, b0) > share * F.least(a1 - a0, b1 - b0)
-
-
 def islands(spans: DataFrame, *keys: str) -> DataFrame:
     """Overlapping spans of a page united to one row each: start, end, n. Touching ones stay apart."""
     order = Window.partitionBy(*keys).orderBy("start", "end")

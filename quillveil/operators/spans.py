@@ -27,15 +27,3 @@ def resolved(spans: Column) -> Column:
     """The strongest spans that don't overlap, in order of place."""
     kept = F.aggregate(strongest_first(spans), T.no_spans(), lambda acc, s: F.when(F.exists(acc, lambda k: _overlap(k, s)), acc).otherwise(F.array_append(acc, s)))
     return in_order(kept)
-
-
-def merged(spans: Column) -> Column:
-    """Overlapping spans united; the newcomer's type wins by priority, then by score against the best so far."""
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        better = (E.priority(s["type"]) > E.priority(last["type"])) | ((E.priority(s["type"]) == E.priority(last["type"])) & (s["score"] > last["score"]))
-        joined = T.span(last["start"], F.greatest(last["end"], s["end"]), F.when(better, s["type"]).otherwise(last["type"]), F.greatest(last["score"], s["score"]), last["label"])
-        return F.when(F.size(acc) == 0, F.array_append(acc, s)).when(s["start"] < last["end"], F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.array_append(acc, s))
-
-    return F.aggregate(in_order(spans), T.no_spans(), step)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
+from ..functions import text as T
+
 # Size limits, XML elements that hold text, parts in reading order.
 MOST_BYTES, MOST_INFLATED = 50 << 20, 200 << 20
 DOCX_PARTS = re.compile(r"^word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$")
@@ -23,7 +25,7 @@ BLOCK_END = re.compile(r"</(?:w:p|si|c|text)>")
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """A row a file: path, text (trimmed); empty ones are left out. CSV is text here."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", f"^[{T.WS}]+|[{T.WS}]+$", "").alias("text"))
     return rows.where(F.length("text") > 0)
 
 
@@ -32,6 +34,15 @@ def read_binary(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataF
     return spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select("path", "content")
 
 
+GOLD = "text string, gold array<struct<text:string,type:string>>"
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled sentences from a JSON file that is one array: a row for each gold surface, with its sentence: text, type, surface."""
+    rows = spark.read.schema(GOLD).json(path, multiLine=True)
+    return rows.select("text", F.explode("gold").alias("g")).select("text", F.col("g.type").alias("type"), F.col("g.text").alias("surface"))
+
+
 def kind_of(path: Column) -> Column:
     """pdf, xlsx, csv, docx, txt or other."""
     ending = F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
@@ -100,23 +111,6 @@ def rewritten(content: bytes, change: Callable[[str], str]) -> bytes:
     return out.getvalue()
 
 
-def replaced(df: DataFrame, content: str, pairs: str) -> DataFrame:
-    """Adds rewritten: ``content`` with every (from, to) of the array column ``pairs`` replaced, longest first. Masks with (original, placeholder), restores with the reverse."""
-
-    @F.pandas_udf(K.BinaryType())
-    def run(contents: pd.Series, keys: pd.Series) -> pd.Series:
-        def one(c: bytes, key) -> bytes:
-            rows = sorted(((r["from"], r["to"]) for r in key), key=lambda r: -len(r[0]))
-            if not rows:
-                return c
-            table, pattern = dict(reversed(rows)), re.compile("|".join(re.escape(a) for a, _ in rows if a))
-            return rewritten(c, lambda t: pattern.sub(lambda m: table[m[0]], t))
-
-        return pd.Series([None if c is None else one(c, k if k is not None else []) for c, k in zip(contents, keys)])
-
-    return df.withColumn("rewritten", run(F.col(content), F.col(pairs)))
-
-
 def token_docx(text: str) -> bytes:
     """A minimal docx: a right-to-left paragraph a line."""
     rows = "".join(f'<w:p><w:pPr><w:bidi/></w:pPr>{f"<w:r><w:t xml:space={chr(34)}preserve{chr(34)}>{encoded(x)}</w:t></w:r>" if x.strip() else ""}</w:p>' for x in text.split("\n"))
