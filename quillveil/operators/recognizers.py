@@ -211,24 +211,50 @@ def _labelled(spans: Column, label: str | None) -> Column:
 NER_TYPES = {"PER": "PERSON", "ORG": "ORGANIZATION", "GPE": "LOCATION", "LOC": "LOCATION", "FAC": "LOCATION"}
 
 
-def align_ner(text: str, raw: list[dict]) -> list[dict]:
-    """Raw model output (raw tag, surface, score) as spans: found in order from a running cursor, else at its first place, else dropped."""
+# Points of Hebrew letters, letters in which a cut word goes on.
+POINTS, LETTERS = re.compile("[\u0591-\u05C7]"), {"he": re.compile("[א-ת]"), "en": re.compile("[A-Za-z]")}
+_SPACE_RUN = re.compile(f"[{WS}]+")
+
+
+def _search_form(text: str) -> tuple[str, list[int]]:
+    """A text without points and with single spaces, and where each character comes from."""
+    out, at = [], []
+    for k, c in enumerate(text):
+        if POINTS.match(c):
+            continue
+        if _SPACE_RUN.match(c):
+            if k and _SPACE_RUN.match(text[k - 1]):
+                continue
+            c = " "
+        out.append(c)
+        at.append(k)
+    return "".join(out), at
+
+
+def align_ner(text: str, raw: Sequence[dict], lang: str | None = None) -> list[dict]:
+    """Raw model output (raw tag, surface, score) as spans: found in order from a running cursor, else at its first place, else dropped.
+
+    Points and runs of white space don't matter; a match goes on through letters of the model's language (of the surface's, if None).
+    """
+    seen, at = _search_form(text)
     out, cursor = [], 0
     for r in raw:
         kind = NER_TYPES.get(re.sub("^[BIES]-", "", r["raw"] or ""))
-        words = re.sub("\\s+", " ", re.sub("[֑-ׇ]", "", (r["surface"] or "").replace("##", ""))).strip()
+        words = _SPACE_RUN.sub(" ", POINTS.sub("", re.sub(" ?##", "", r["surface"] or ""))).strip()
         if not kind or not words:
             continue
-        at = text.find(words, cursor)
-        at = at if at >= 0 else text.find(words)
-        if at < 0:
+        start = seen.find(words, cursor)
+        start = start if start >= 0 else seen.find(words)
+        if start < 0:
             continue
-        end = at + len(words)
-        letters = "[א-ת]" if re.search("[א-ת]", words) else "[A-Za-z]"
-        while end < len(text) and re.match(letters, text[end]) and re.match(letters, text[end - 1]):
+        end = at[start + len(words) - 1] + 1
+        letters = LETTERS[lang or ("he" if LETTERS["he"].search(words) else "en")]
+        while end < len(text) and letters.match(text[end]):
             end += 1
-        out.append({"start": at, "end": end, "type": kind, "score": float(r["score"]), "label": None})
-        cursor = end
+        out.append({"start": at[start], "end": end, "type": kind, "score": float(r["score"]), "label": None})
+        cursor = start + len(words)
+        while cursor < len(at) and at[cursor] < end:
+            cursor += 1
     return out
 
 

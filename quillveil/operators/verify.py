@@ -14,6 +14,7 @@ from ..functions import entities as E
 from ..functions import placeholders as P
 from ..functions import text as T
 from ..functions import validators as V
+from . import document
 
 #: Digit runs with single separators, as a leak may be written.
 RUN = f"[0-9](?:[{T.WS}.()\\u00AD\\u2010-\\u2015-]?[0-9])*"
@@ -107,6 +108,21 @@ def plain_part_leaks(text: str, needles: list[str]) -> list[str]:
     return out
 
 
+def healed(text: str, result: tuple, most: int = 1) -> tuple:
+    """A result that also covers values written in another form: what survives is found again, and all is masked anew."""
+    for _ in range(most):
+        spans, key, out = result
+        body = re.sub(r"[\[\]]", "x", out)
+        left = [k for k in key if plain_survives(body, k[1])]
+        more = [s for k in left for s in plain_leak_spans(text, k[1], k[2])]
+        if not more:
+            return result
+        used = document.resolved([*spans, *more])
+        masked, key = document.masked(text, used)
+        result = (used, key, masked)
+    return result
+
+
 # What tells streams of fonts and images, and the forms in which a value may lie in bytes.
 ASSET = re.compile(rb"/FontFile[23]?\b|/Length1\b|/Subtype\s*/(?:Image|CIDFontType|Type1C|TrueType)|/Type\s*/Font")
 FORMS = (("utf-8", "utf-8", False), ("utf-16le", "utf-16-le", False), ("utf-16be", "utf-16-be", False), ("utf-8 (reversed)", "utf-8", True), ("utf-16le (reversed)", "utf-16-le", True))

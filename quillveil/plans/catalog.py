@@ -291,8 +291,8 @@ def key_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys last used in the 24 hours before the last event."""
     e = table(spark, sf_dir, "events")
-    rows = e.groupBy("user_id").agg(F.max("ts").alias("seen_at")).crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
-    return keys.alive(rows, F.col("now")).select("user_id", "seen_at")
+    now = e.agg(F.max("ts")).first()[0]
+    return keys.alive(e.groupBy("user_id").agg(F.max("ts").alias("seen_at")), F.lit(now)).select("user_id", "seen_at")
 
 
 @query(

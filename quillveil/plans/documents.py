@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
-from ..operators import glyphs, scan, verify
+from ..operators import glyphs, layered, scan, verify
 from ..sources import files, office
 from .catalog import PLANTED_SQL, planted, query, table
 
@@ -211,3 +211,20 @@ def file_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).withColumns({"path": F.concat(F.lit("f."), ending), "content": F.encode(F.lit("mail a@b.co"), "UTF-8")})
     return office.redact_files(rows).select("k", "error", "text")
 
+
+
+@query(
+    PLANTED_SQL
+    + "SELECT k, 'טל [PHONE_1] סוף' || chr(10) || 'About [PHONE_1]' || chr(10) || 'Plain' AS anonymized, 'About [PHONE_1]' AS title, 30.0::DOUBLE AS x0, 30.0 + (length(phone) - 1) * 10 + 8 AS x1, 0 AS n_left FROM p"
+)
+def layered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs of a page and titles beside it, masked with one key: the rectangle of the value, and the new title."""
+    p = planted(spark, sf_dir).select(F.col("k").alias("doc"), "phone")
+    text = F.concat(F.lit("טל "), "phone", F.lit(" סוף"))
+    g = p.select("doc", F.lit(0).alias("page"), F.lit(0).alias("line"), F.posexplode(F.split(text, "")).alias("pos", "ch"))
+    x = F.col("pos") * 10.0
+    g = g.withColumn("quad", F.array(x, F.lit(0.0), x + 8, F.lit(0.0), x + 8, F.lit(12.0), x, F.lit(12.0)))
+    titles = p.select("doc", F.lit("outline").alias("channel"), F.posexplode(F.array(F.concat(F.lit("About "), "phone"), F.lit("Plain"))).alias("ord", "value"))
+    docs, rects, new = layered.redacted(g, titles)
+    out = docs.join(rects, "doc").join(new.select("doc", F.col("value").alias("title")), "doc")
+    return out.select(F.col("doc").alias("k"), "anonymized", "title", "x0", "x1", F.size("left").alias("n_left"))

@@ -133,21 +133,6 @@ def number_regions(xml: str, path: str, order: int) -> Iterator[Region]:
             n += 1
 
 
-def healed(text: str, result: tuple, most: int = 1) -> tuple:
-    """A result that also covers values written in another form: what survives is found again, and all is masked anew."""
-    for _ in range(most):
-        spans, key, out = result
-        body = re.sub(r"[\[\]]", "x", out)
-        left = [k for k in key if verify.plain_survives(body, k[1])]
-        more = [s for k in left for s in verify.plain_leak_spans(text, k[1], k[2])]
-        if not more:
-            return result
-        used = document.resolved([*spans, *more])
-        masked, key = document.masked(text, used)
-        result = (used, key, masked)
-    return result
-
-
 def overlaid(text: str, segments: Sequence[tuple[int, int]], spans: Sequence[document.Span], key: Sequence[tuple[str, str, str]]) -> list[str]:
     """Each segment's new text; a placeholder stands in the segment where its value begins. Spans are in order and apart."""
     tokens = {(token[1:].rsplit("_", 1)[0], value): token for token, value, _ in key}
@@ -182,7 +167,7 @@ def masked_parts(parts: dict[str, str], classes: dict[str, tuple[int, Parts]], a
         segments.append((at, at + len(r.text)))
         at += len(r.text)
     text = "".join(pieces)
-    result = healed(text, anonymize(text))
+    result = verify.healed(text, anonymize(text))
     fresh = overlaid(text, segments, result[0], result[1])
     out = dict(parts)
     for r, new in sorted(zip(regions, fresh), key=lambda x: (x[0].path, -x[0].start)):
