@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillveil.llm import exact, mixing, near, tokens
+from quillveil.llm import exact, mixing, near, store, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, kept string, node string, size long"
@@ -39,6 +39,12 @@ def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA).repartition(5)
 
 
+@pytest.fixture(params=["small tables are broadcast", "nothing is broadcast"])
+def limit(request, monkeypatch):
+    if request.param.startswith("nothing"):
+        monkeypatch.setattr(store, "BROADCAST_BYTES", 0)
+
+
 def counted(df):
     return Counter((r["doc_id"], r["text"]) for r in df.collect())
 
@@ -51,7 +57,7 @@ def least(d):
     return d if d is not None else 1 << 60
 
 
-def test_exact_dedup_keeps_one_row_of_each_group(docs):
+def test_exact_dedup_keeps_one_row_of_each_group(docs, limit):
     groups = defaultdict(list)
     for r in ROWS:
         groups[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append(r)
@@ -82,7 +88,7 @@ def near_groups(rows, size, percent=80):
 
 
 @pytest.mark.parametrize("size", [2, 5])
-def test_near_dedup_keeps_one_row_of_each_group(docs, size):
+def test_near_dedup_keeps_one_row_of_each_group(docs, size, limit):
     sets, own = near_groups(ROWS, size)
     groups = defaultdict(list)
     for r, s, o in zip(ROWS, sets, own):
@@ -122,7 +128,7 @@ def queue(rows):
     return sizes, total, target
 
 
-def test_mix_gives_each_row_its_share(docs):
+def test_mix_gives_each_row_its_share(docs, limit):
     sizes, total, target = queue(ROWS)
     got = mixing.mixed(docs).collect()
     assert len(got) == len(ROWS)
