@@ -232,6 +232,16 @@ def redacted_documents(words: DataFrame, doc: str = "doc", page: str = "page") -
     return refused.join(out, doc, "left").withColumn("refused", F.col("_none") | F.coalesce(F.size("leaks") > 0, F.lit(False))).drop("_none")
 
 
+def rectangles(detected: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
+    """What a writer whitens: the boxes of detected pages, padded and in page points: keys, x0, y0, x1, y1. ``sizes``: keys, image_w,
+    image_h, page_w, page_h, origin_x, origin_y."""
+    rows = detected.select(*keys, F.explode("boxes").alias("b")).join(sizes, list(keys))
+    c = F.col
+    box = padded(c("b.x0"), c("b.y0"), c("b.x1"), c("b.y1"), c("image_w"), c("image_h"))
+    place = to_page(box, (c("image_w"), c("image_h")), (c("page_w"), c("page_h")), (c("origin_x"), c("origin_y")))
+    return rows.select(*keys, *(x.alias(n) for x, n in zip(place, BOX)))
+
+
 def whitened(words: DataFrame, boxes: DataFrame, *keys: str) -> DataFrame:
     """What a second reading of the pages sees: the words that no box covers. Boxes: keys, x0, y0, x1, y1."""
     b = boxes.select(*keys, *(F.col(c).alias(f"b_{c}") for c in BOX))

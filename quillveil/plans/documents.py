@@ -117,6 +117,18 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc", "anonymized", F.array_join(F.transform("key", lambda k: k["source"]), ",").alias("sources"), F.size("leaks").alias("n_leaks"), "refused")
 
 
+@query(
+    SCAN_SQL
+    + """, b AS (SELECT unnest([70.0, 0, 70, 0, 0, 0, 0]) AS x0, unnest([0.0, 100, 200, 300, 0, 200, 300]) AS y0, unnest([130.0, 60, 200, 60, 130, 200, 60]) AS x1)
+SELECT doc, 10 + greatest(x0 - 3, 0) * 0.36 AS x0, greatest(y0 - 3, 0) * 0.36 AS y0, 10 + (x1 + 3) * 0.36 AS x1, (y0 + 23) * 0.36 AS y1 FROM s, b"""
+)
+def scan_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles to whiten on scanned pages: of every span, and of labels with their values."""
+    d = scan.detect_pages(scan_words(spark, sf_dir), "doc", "page")
+    sizes = {"image_w": 1700.0, "image_h": 2200.0, "page_w": 612.0, "page_h": 792.0, "origin_x": 10.0, "origin_y": 0.0}
+    return scan.rectangles(d, d.select("doc", "page", *(F.lit(v).alias(n) for n, v in sizes.items())), "doc", "page").drop("page")
+
+
 @query(SCAN_SQL + "SELECT doc, 2::BIGINT AS words_left, 0::BIGINT AS spans_left FROM s")
 def scan_second_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second reading of the whitened pages finds: nothing."""
