@@ -43,7 +43,7 @@ from .eliasfano import Trie
 MU = 4.0
 HEAD_SHARE = 1 << 16
 #: Tokens a shard is meant to hold.
-SHARD_TOKENS = 2_500_000
+SHARD_TOKENS = 2_000_000
 _U = np.uint64
 BEGIN, END = (xxhash.xxh3_64_intdigest(b"\x00 " + x) for x in (b"begin", b"end"))  # hold a space: no word is hashed so
 #: Entries that a task gathers before it deals them out.
@@ -144,6 +144,8 @@ OWN = ("<i8", "u1", "u1", "<i8", "<f8", "<i8")
 SUMS = ("<u2", "<f8", "<f8", "<i8")
 #: Names of the rows of a shard's model.
 TRIE, TOTALS = "trie", "totals"
+#: Counts of the trie's contexts, in their order.
+TOTAL = ("<u8",)
 COUNTS = ("<u8", "<u8")
 ASK = "part int, own boolean, payload binary"
 ASK_ARROW = pa.schema([("part", pa.int32()), ("own", pa.bool_()), ("payload", pa.binary())])
@@ -318,11 +320,13 @@ def _shard(lower: Lower, keep: bool = False):
                 names.append(name)
                 parts.append(_unpacked(payload.as_py(), KINDS))
         if names:
-            of_block = np.repeat(np.arange(len(parts)), [len(p[5]) for p in parts])
+            of_block = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[5]) for p in parts])
             v, runs, w, trained, sizes, doc, times = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
             contexts, which = np.unique(v, return_inverse=True)
             owner = np.repeat(which, runs)
             words, number = np.unique(w, return_inverse=True)
+            del v, w
             tail, tail_counts = map(np.concatenate, zip(*counted))
             order = np.argsort(tail)
             word_logs = lower.logs(words, tail[order], tail_counts[order])
@@ -332,7 +336,8 @@ def _shard(lower: Lower, keep: bool = False):
             at, head = lower.find(contexts)
             if model_rows:
                 trie = Trie(model_rows[TRIE])
-                known, totals = _unpacked(model_rows[TOTALS].to_pybytes(), COUNTS)
+                (totals,) = _unpacked(model_rows[TOTALS].to_pybytes(), TOTAL)
+                known = trie.contexts.at(np.arange(trie.contexts.n))
                 place = np.minimum(np.searchsorted(known, contexts), len(known) - 1)
                 total = np.where(known[place] == contexts, totals[place], 0).astype(np.float64)
             else:
@@ -348,7 +353,7 @@ def _shard(lower: Lower, keep: bool = False):
                 trie = Trie(raw)
                 if keep and len(seen):
                     shard = table.column("shard")[0].as_py()
-                    rows += [(shard, None, TRIE, raw), (shard, None, TOTALS, _packed([contexts[seen], total[seen]], COUNTS))]
+                    rows += [(shard, None, TRIE, raw), (shard, None, TOTALS, _packed([total[seen]], TOTAL))]
             logs = trie.score_pairs(contexts, own, words, word, lows)
             base = np.where(head | (contexts == _U(BEGIN)), 0, np.log10(total + 1))
             known = (base > 0).astype(np.int64)
