@@ -120,39 +120,47 @@ class Lower:
         return (arrow.mixed(contexts + (part % fan).astype(_U) * _U(0x9E3779B97F4A7C15)) % _U(self.shards)).astype(np.int64)
 
 
-#: Of a payload's arrays, in order.
-KINDS = ("<u8", "<u4", "<u8", "<u4", "<u4", "<u2", "<u4")
+#: Of a payload's arrays, in order; + marks those that go as differences, as they are sorted.
+KINDS = ("+<u8", "<u4", "+<u8", "<u4", "<u4", "<u4", "<u2", "<u4")
 
 
 def _packed(arrays: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
-    raw = struct.pack(f"<{len(arrays)}Q", *map(len, arrays)) + b"".join(a.astype(k).tobytes() for a, k in zip(arrays, kinds))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """The arrays, each as its lowest bytes, then the next ones and so on, compressed."""
+    out = [struct.pack(f"<{len(arrays)}Q", *map(len, arrays))]
+    for a, kind in zip(arrays, kinds):
+        a = np.ascontiguousarray(a, kind.lstrip("+"))
+        if kind[0] == "+" and len(a):
+            a = np.concatenate([a[:1], a[1:] - a[:-1]])
+        out.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def _unpacked(raw: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(raw)
     lengths, at, out = struct.unpack_from(f"<{len(kinds)}Q", raw), 8 * len(kinds), []
     for n, kind in zip(lengths, kinds):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
+        to = np.dtype(kind.lstrip("+"))
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * to.itemsize, at).reshape(to.itemsize, n).T).reshape(-1).view(to)
+        out.append(np.cumsum(a, dtype=to) if kind[0] == "+" else a)
+        at += a.nbytes
     return out
 
 
 ROW = "shard int, own boolean, block string, payload binary"
 ROW_ARROW = pa.schema([("shard", pa.int32()), ("own", pa.bool_()), ("block", pa.string()), ("payload", pa.binary())])
 OWN = ("<i8", "u1", "u1", "<i8", "<f8", "<i8")
-SUMS = ("<u2", "<f8", "<f8", "<i8")
+SUMS = ("+<u2", "<f8", "<f8", "<i8")
 #: Names of the rows of a shard's model.
 TRIE, TOTALS = "trie", "totals"
 #: Counts of the trie's contexts, in their order.
 TOTAL = ("<u8",)
-COUNTS = ("<u8", "<u8")
+COUNTS = ("+<u8", "<u8")
 ASK = "part int, own boolean, payload binary"
 ASK_ARROW = pa.schema([("part", pa.int32()), ("own", pa.bool_()), ("payload", pa.binary())])
 
 
 def _by_word(h: np.ndarray, other: np.ndarray, own: bool, parts: int) -> pa.RecordBatch:
-    """Words and a number each, dealt by word."""
+    """Words (best sorted) and a number each, dealt by word."""
     part = (arrow.mixed(h) % _U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part, h, other = part[order], h[order], other[order]
@@ -168,10 +176,11 @@ def _counted(parts: int):
         words, counts = [], []
 
         def flushed() -> pa.RecordBatch:
-            out = _by_word(np.concatenate(words), np.concatenate(counts), True, parts)
+            h, c = np.concatenate(words), np.concatenate(counts)
             words.clear()
             counts.clear()
-            return out
+            order = np.argsort(h)
+            return _by_word(h[order], c[order], True, parts)
 
         for batch in batches:
             words.append(batch.column(0).to_numpy().view(_U))
@@ -256,20 +265,24 @@ def _blocks(lower: Lower):
         codes, offsets, h = _tokens(col)
         n = len(h)
         h = np.concatenate([h, np.array([BEGIN, END], _U)])
+        order = np.argsort(h)  # codes in the order of the hashes, so that those of a payload are sorted
+        rank = np.empty(n + 2, np.int64)
+        rank[order] = np.arange(n + 2)
+        h, codes, (begin, end) = h[order], rank[codes], rank[n:]
         # words of heads are counted here, those of other words by the shard of their context
         at, head = lower.find(h)
         logs, known = np.zeros(n + 2), np.zeros(n + 2, np.int64)
         logs[head], known[head] = np.log10(lower.counts[at[head]] + 1), 1
-        logs[n], known[n] = 0, 0
-        logs[n + 1], known[n + 1] = math.log10(lower.docs + 1), lower.docs > 0
-        base = arrow.segment_sums(logs[codes], offsets) + logs[n + 1]
-        sure = arrow.segment_sums(known[codes], offsets) + known[n + 1]
+        logs[begin], known[begin] = 0, 0
+        logs[end], known[end] = math.log10(lower.docs + 1), lower.docs > 0
+        base = arrow.segment_sums(logs[codes], offsets) + logs[end]
+        sure = arrow.segment_sums(known[codes], offsets) + known[end]
         own = [ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), ~train, np.diff(offsets) + 1, base, sure]
 
         row = arrow.row_of(offsets)
         to = np.arange(len(codes)) + row
-        first = np.full(len(codes) + docs, n, np.int64)
-        second = np.full(len(codes) + docs, n + 1, np.int64)
+        first = np.full(len(codes) + docs, begin, np.int64)
+        second = np.full(len(codes) + docs, end, np.int64)
         first[to + 1], second[to] = codes, codes
         row = np.repeat(np.arange(docs), np.diff(offsets) + 1)
         entries, times = np.unique(((first * (n + 2) + second) << 16) | row, return_counts=True)
@@ -290,7 +303,8 @@ def _blocks(lower: Lower):
             vs = v[a:b]
             runs = np.flatnonzero(np.concatenate([[True], vs[1:] != vs[:-1]]))
             e = slice(ends[a], ends[b])
-            arrays = [h[vs[runs]], np.diff(np.append(runs, b - a)), h[w[a:b]], trained[a:b], sizes[a:b], doc[e], times[e]]
+            distinct, number = np.unique(w[a:b], return_inverse=True)
+            arrays = [h[vs[runs]], np.diff(np.append(runs, b - a)), h[distinct], number, trained[a:b], sizes[a:b], doc[e], times[e]]
             rows.append((s, False, name, _packed(arrays, KINDS)))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), ROW_ARROW.types)], schema=ROW_ARROW)
 
@@ -320,13 +334,15 @@ def _shard(lower: Lower, keep: bool = False):
                 names.append(name)
                 parts.append(_unpacked(payload.as_py(), KINDS))
         if names:
-            of_block = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[5]) for p in parts])
-            v, runs, w, trained, sizes, doc, times = (np.concatenate(x) for x in zip(*parts))
+            of_block = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[6]) for p in parts])
+            before = np.repeat(np.cumsum([0] + [len(p[2]) for p in parts[:-1]]), [len(p[3]) for p in parts])
+            v, runs, w, number, trained, sizes, doc, times = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
             contexts, which = np.unique(v, return_inverse=True)
             owner = np.repeat(which, runs)
-            words, number = np.unique(w, return_inverse=True)
-            del v, w
+            words, place = np.unique(w, return_inverse=True)
+            number = place[before + number]
+            del v, w, place, before
             tail, tail_counts = map(np.concatenate, zip(*counted))
             order = np.argsort(tail)
             word_logs = lower.logs(words, tail[order], tail_counts[order])

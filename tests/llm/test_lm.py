@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillveil.llm import lm
@@ -37,3 +38,12 @@ def test_language_model_scores_with_each_words_own_count(spark, monkeypatch, tmp
     for d, ws in toks.items():
         want = sum(math.log10((two[v, w] + lm.MU * low[w]) / (first[v] + lm.MU)) for v, w in zip(ws, ws[1:]))
         assert abs(got[d] - want) < 1e-4 * len(ws), (d, got[d], want)
+
+
+def test_payloads_keep_their_arrays_and_sorted_hashes_take_less_room():
+    rng = np.random.default_rng(5)
+    h = np.sort(rng.integers(0, 1 << 64, 20_000, np.uint64))
+    for arrays, kinds in (([h, np.arange(20_000)], lm.COUNTS), ([np.array([7, 3, 3, 65535, 0]), np.array([-1.5, 0, 1e300, 2, 3]), np.zeros(5), np.array([-1, 2, 3, 4, 5])], lm.SUMS), ([h[:0]] * 8, lm.KINDS)):
+        back = lm._unpacked(lm._packed(arrays, kinds), kinds)
+        assert all(np.array_equal(a, b) and b.dtype == k.lstrip("+") for a, b, k in zip(arrays, back, kinds, strict=True))
+    assert len(lm._packed([h, np.ones(len(h), np.int64)], lm.COUNTS)) < 7 * len(h)  # 8 bytes each when they go as they are
